@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash_dedup, substring_dedup
+from . import chat_format, decontaminate, minhash_dedup, packing, quality_rules, substring_dedup, token_output
 
 QUERIES, ORACLES = {}, {}
 
@@ -13,6 +13,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.chat_format(_table(spark, sf_dir, "conversations"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are kept, with their metrics."""
+    return quality_rules.verdicts(_table(spark, sf_dir, "documents")).where("failed = ''")
+
+
+QUERIES |= {"op1_chat_format": op1_chat_format, "op2_quality_rules": op2_quality_rules}
+ORACLES |= {"op1_chat_format": chat_format.ORACLE, "op2_quality_rules": quality_rules.ORACLE}
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -32,3 +45,15 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_decontaminate"] = op5_decontaminate
+
+
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records in slot order, bytes included: what ``write_shards`` puts into files."""
+    return token_output.training_order(_table(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_conversations(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES |= {"op3_token_output": op3_token_output, "op10_packing": op10_packing}
