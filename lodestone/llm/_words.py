@@ -123,12 +123,12 @@ def words(texts: Sequence[str | None]) -> Words:
     return Words(ptr, s - base, e - base, h, offset, c)
 
 
-def chunks(texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of documents of about CHUNK code points; a longer document stands alone."""
+def chunks(texts: Sequence[str | None], most: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of about ``most`` code points; a longer document stands alone."""
     begin = total = 0
     for i, t in enumerate(texts):
         n = len(t or "")
-        if total and total + n > CHUNK:
+        if total and total + n > most:
             yield begin, i
             begin, total = i, 0
         total += n

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, minhash_dedup, packing, quality_rules, substring_dedup, token_output
+from . import chat_format, decontaminate, license_scan, minhash_dedup, packing, quality_rules, substring_dedup, token_output
 
 QUERIES, ORACLES = {}, {}
 
@@ -57,3 +57,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op3_token_output": op3_token_output, "op10_packing": op10_packing}
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_findings(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_license_scan"] = op6_license_scan
