@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, license_scan, minhash_dedup, packing, quality_rules, substring_dedup, token_output
+from . import chat_format, decontaminate, html_extract, license_scan, minhash_dedup, packing, quality_rules, substring_dedup, token_output, toxicity
 
 QUERIES, ORACLES = {}, {}
 
@@ -64,3 +64,14 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_license_scan"] = op6_license_scan
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(_table(spark, sf_dir, "pages"))
+
+
+QUERIES |= {"op7_toxicity": op7_toxicity, "op9_html_extract": op9_html_extract}
