@@ -36,7 +36,7 @@ from ._spans import cut_spans
 
 K, WINDOW, MIN_WORDS = 25, 26, 50
 #: Canonical phrases to a shard (about 13 new words each), and documents to a copy of a pattern.
-PER_SHARD, PER_COPY = 10_000, 20_000
+PER_SHARD, PER_COPY = 5_000, 200_000
 
 SCHEMA = "doc_id long, start int, end int, n_words int, word_start int, removed array<struct<start:int,end:int>>"
 
@@ -145,57 +145,66 @@ def to_shards(rows: DataFrame, k: int) -> DataFrame:
 
 
 class Matches:
-    """Matches of one automaton, with the words around them, until all its documents have streamed through."""
+    """Matches of one automaton, with the windows around them, until all its documents have streamed through."""
 
     def __init__(self, shard: int, k: int, size: int):
         self.shard, self.split, self.k, self.size = shard, shard % 1024 > 1, k, size
-        self.whole: list[tuple] = []  # pattern, doc_id, word, end word, start, end
-        self.around: list[tuple] = []  # doc_id, first word, hashes, starts, ends
-
-    def add(self, n: int, d: int, a: int, b: int, h: np.ndarray, s: np.ndarray, e: np.ndarray) -> None:
-        """Pattern n is at words a to b of document d, which has words of hashes h from s to e."""
-        more = self.size - self.k
-        if b - a >= self.size:
-            self.whole.append((n, d, a, b, s[a], e[b - 1]))
-        parts = [(a - more, b + more)] if b - a < 2 * self.size else [(a - more, a + self.size), (b - self.size, b + more)]
-        for lo, hi in parts:
-            lo, hi = max(0, lo), min(len(h), hi)
-            if hi - lo >= self.size:
-                self.around.append((d, lo, h[lo:hi].copy(), s[lo:hi].astype(np.int32), e[lo:hi].astype(np.int32)))
+        self.whole: list[tuple[np.ndarray, ...]] = []  # key, doc_id, word, end word, start, end
+        self.around: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, ids: np.ndarray, doc: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, w: W.Words) -> None:
+        """Patterns n are at words a to b of the documents numbered doc in w, whose ids are ``ids``."""
+        size, more, base = self.size, self.size - self.k, w.ptr[doc]
+        key = W.mix(n.astype(np.uint64) ^ W.mix(np.uint64([self.shard])))
+        long = b - a >= size
+        self.whole.append(tuple(x[long] for x in (key, ids[doc], a, b, w.start[base + a], w.end[base + b - 1])))
+        far = b - a >= 2 * size
+        lo = np.concatenate((base + a - more, (base + b - size)[far]))
+        hi = np.concatenate((base + np.where(far, a + size, b + more), (base + b + more)[far]))
+        part = np.concatenate((doc, doc[far]))
+        lo, hi = np.maximum(lo, w.ptr[part]), np.minimum(hi, w.ptr[part + 1])
+        # Windows that start in a part: each once, however many parts overlap there.
+        change = np.zeros(len(w.hash) + 1, np.int64)
+        np.add.at(change, lo, 1)
+        np.add.at(change, np.maximum(hi - size + 1, lo), -1)
+        at = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+        of = np.searchsorted(w.ptr, at, side="right") - 1
+        first = at - w.ptr[of]
+        self.around.append((W.phrases(w, size)[at], ids[of], first, first + size, w.start[at].astype(np.int32), w.end[at + size - 1].astype(np.int32)))
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        """Repeated spans; of an automaton that several tasks have, all spans with the key by which they are yet to be compared."""
-        if self.whole:
-            n, d, a, b, s, e = (np.int64(x) for x in zip(*self.whole, strict=True))
-            yield from self._emit(W.mix(n.astype(np.uint64) ^ W.mix(np.uint64([self.shard]))), d, a, b, s, e, join=False)
-        if self.around:
-            size = self.size
-            docs, first, h, s, e = zip(*self.around, strict=True)
-            ptr = np.cumsum([0, *map(len, h)])
-            w = W.Words(ptr, np.concatenate(s), np.concatenate(e), np.concatenate(h), ptr, ptr)
-            at = np.flatnonzero(W.left(w) >= size)
-            of = np.searchsorted(ptr, at, side="right") - 1
-            a = np.int64(first)[of] + at - ptr[of]
-            yield from self._emit(W.phrases(w, size)[at], np.int64(docs)[of], a, a + size, w.start[at].astype(np.int64), w.end[at + size - 1].astype(np.int64), join=True)
-
-    def _emit(self, key: np.ndarray, d: np.ndarray, a: np.ndarray, b: np.ndarray, s: np.ndarray, e: np.ndarray, join: bool) -> Iterator[pa.RecordBatch]:
+        """Repeated spans. Of an automaton that several tasks have, what other tasks may change comes with the key by which to compare."""
+        for kept in (self.whole, self.around):
+            if kept:
+                key, d, a, b, s, e = (np.concatenate(x) for x in zip(*kept, strict=True))
+                kept.clear()
+                if len(key):
+                    yield from self._emit(key, d, a, b, s, e)
+
+    def _emit(self, key: np.ndarray, d: np.ndarray, a: np.ndarray, b: np.ndarray, s: np.ndarray, e: np.ndarray) -> Iterator[pa.RecordBatch]:
+        by = np.argsort(key)
+        first = np.flatnonzero(np.concatenate(([True], key[by][1:] != key[by][:-1])))
+        low, high = np.minimum.reduceat(d[by], first), np.maximum.reduceat(d[by], first)
+        group = np.empty(len(key), np.int32)
+        group[by] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff([*first, len(key)]))
+        shared, least = (low != high)[group], d == low[group]
         if self.split:
-            own = np.zeros(len(key), bool)
-        else:
-            by = np.argsort(key)
-            first = np.flatnonzero(np.concatenate(([True], key[by][1:] != key[by][:-1])))
-            low, high = np.minimum.reduceat(d[by], first), np.maximum.reduceat(d[by], first)
-            group = np.empty(len(key), np.int64)
-            group[by] = np.repeat(np.arange(len(first)), np.diff([*first, len(key)]))
-            keep = (low != high)[group]
-            own = (d == low[group])[keep]
-            d, a, b, s, e = (x[keep] for x in (d, a, b, s, e))
-            if join and len(d):  # adjacent windows become one span
-                begin = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (a[1:] != a[:-1] + 1) | (own[1:] != own[:-1]))))
-                last = np.append(begin[1:], len(d)) - 1
-                d, a, s, own, b, e = d[begin], a[begin], s[begin], own[begin], b[last], e[last]
-        if len(d):
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64) if self.split else np.zeros(len(d), np.int64)), pa.array(np.full(len(d), self.split)), pa.array(d), *[pa.array(x.astype(np.int32)) for x in (a, b, s, e)], pa.array(own)], ["key", "open", "doc_id", "a", "b", "start", "end", "own"])
+            # The smallest of these documents may not be the smallest of all, and what one has others may have elsewhere.
+            if (late := np.flatnonzero(least)).size:
+                yield self._batch(key[late], True, d[late], a[late], b[late], s[late], e[late], shared[late])
+            shared &= ~least
+        d, a, b, s, e, own = (x[shared] for x in (d, a, b, s, e, least))
+        if len(d):  # overlapping and touching spans of a document become one, as they do in the end
+            by = np.lexsort((a, own, d))
+            d, a, b, s, e, own = (x[by] for x in (d, a, b, s, e, own))
+            group = np.cumsum(np.concatenate(([0], (d[1:] != d[:-1]) | (own[1:] != own[:-1])))) << 32
+            top = np.maximum.accumulate(group + b)
+            begin = np.flatnonzero(np.concatenate(([True], (group + a)[1:] > top[:-1])))
+            yield self._batch(np.zeros(len(begin), np.uint64), False, d[begin], a[begin], np.maximum.reduceat(b, begin), s[begin], np.maximum.reduceat(e, begin), own[begin])
+
+    @staticmethod
+    def _batch(key: np.ndarray, late: bool, d: np.ndarray, a: np.ndarray, b: np.ndarray, s: np.ndarray, e: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(d), late)), pa.array(d), *[pa.array(x.astype(np.int32)) for x in (a, b, s, e)], pa.array(own)], ["key", "open", "doc_id", "a", "b", "start", "end", "own"])
 
 
 def stream(rows: DataFrame, k: int, size: int) -> DataFrame:
@@ -206,17 +215,16 @@ def stream(rows: DataFrame, k: int, size: int) -> DataFrame:
         texts: list[tuple[int, str]] = []
 
         def scan() -> None:
+            size_of = np.int64(lengths)
             for lo, hi in W.chunks([t for _, t in texts]):
-                normal = Normal([t for _, t in texts[lo:hi]])
-                w = normal.w
-                for i, (d, _) in enumerate(texts[lo:hi]):
-                    hits = list(machine.iter(normal.text(i)))
-                    if hits:
-                        part = slice(w.ptr[i], w.ptr[i + 1])
-                        end = np.int64([x for x, _ in hits])
-                        words = np.searchsorted(normal.places(i), np.stack((end + 1 - [lengths[n] for _, n in hits], end)))
-                        for (_, n), a, b in zip(hits, *words.tolist(), strict=True):
-                            found.add(n, d, a, b, w.hash[part], w.start[part], w.end[part])
+                normal, hits = Normal([t for _, t in texts[lo:hi]]), []
+                for i in range(hi - lo):
+                    if got := list(machine.iter(normal.text(i))):
+                        end, n = np.int64(got).T
+                        a, b = np.searchsorted(normal.places(i), np.stack((end + 1 - size_of[n], end)))
+                        hits.append((np.full(len(n), i), n, a, b))
+                if hits:
+                    found.add(np.int64([d for d, _ in texts[lo:hi]]), *(np.concatenate(x) for x in zip(*hits, strict=True)), normal.w)
             texts.clear()
 
         for batch in batches:
@@ -297,7 +305,8 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hits = scratch.save(stream(rows.repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind", "doc_id", "pos"), k, min_words), "hits")
     columns = ["doc_id", "a", "b", "start", "end", "own"]
     by = Window.partitionBy("key")
-    late = hits.where("open").withColumns({"least": F.min("doc_id").over(by), "most": F.max("doc_id").over(by)}).where("least <> most").withColumn("own", F.col("doc_id") == F.col("least"))
+    # Here own says whether two documents of the task had it.
+    late = hits.where("open").withColumns({"least": F.min("doc_id").over(by), "most": F.max("doc_id").over(by), "sure": F.max("own").over(by)}).where("least <> most or sure").withColumn("own", F.col("doc_id") == F.col("least"))
     out = scratch.save(merge_hits(hits.where("not open").select(columns).union(late.select(columns)), min_words), "result")
     scratch.drop("phrases", "hits")
     return out
