@@ -1 +1 @@
-"""functions of lodestone."""
+"""Column expressions: casts, vectors, bins and text, all built-in Spark functions."""

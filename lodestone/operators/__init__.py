@@ -1 +1 @@
-"""operators of lodestone."""
+"""Operators: DataFrame in, DataFrame out."""

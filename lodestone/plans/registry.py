@@ -24,3 +24,6 @@ def register(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from . import active_queries, clustering_queries, search_queries, table_queries, vector_queries, workflow_queries  # noqa: E402, F401
