@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def cut_spans(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with the spans (doc_id, spans array<struct<start,end>>, not overlapping) cut from its texts, by Spark expressions alone."""
+    """df with the spans (doc_id, text_hash, spans array<struct<start,end>>, not overlapping) cut from its texts, by Spark expressions alone."""
     text = F.col(f"`{text_col}`")
-    spans = spans.select(F.col("doc_id").alias("__id"), F.sort_array("spans").alias("__spans"))
-    joined = df.join(spans, F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left")
+    spans = spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.sort_array("spans").alias("__spans"))
+    joined = df.join(spans, (F.col(f"`{id_col}`").cast("long") == F.col("__id")) & (F.xxhash64(text.cast("string")) == F.col("__hash")), "left")
     begins = F.concat(F.array(F.lit(0)), F.transform("__spans", lambda s: s["end"]))
     ends = F.concat(F.transform("__spans", lambda s: s["start"]), F.array(F.length(text)))
     parts = F.zip_with(begins, ends, lambda a, b: text.substr(a + F.lit(1), F.greatest(b - a, F.lit(0))))

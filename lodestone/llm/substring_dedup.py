@@ -16,7 +16,8 @@
 So the passages of a document are exactly the unions of its 50-word windows that another document holds too.
 
 Defined results: null id: row ignored. Null, empty and short (< 50 words) texts: nothing found. Repeats within
-one document, or in repeated rows of one doc_id, alone don't count. Ties: the smallest doc_id, then the
+one document, or in repeated rows of one doc_id, alone don't count. Repeated rows are reported once; different texts under one
+doc_id are told apart by text_hash. Ties: the smallest doc_id, then the
 first position, is canonical. An empty table gives an empty result. Texts are read whole.
 """
 
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import Scratch, ship
@@ -38,7 +40,7 @@ K, WINDOW, MIN_WORDS = 25, 26, 50
 #: Canonical phrases to a shard (about 13 new words each), and documents to a copy of a pattern.
 PER_SHARD, PER_COPY = 5_000, 200_000
 
-SCHEMA = "doc_id long, start int, end int, n_words int, word_start int, removed array<struct<start:int,end:int>>"
+SCHEMA = "doc_id long, text_hash long, start int, end int, n_words int, word_start int, removed array<struct<start:int,end:int>>"
 
 
 def _link(fp: np.ndarray, gap: np.ndarray) -> np.ndarray:
@@ -80,6 +82,12 @@ def recurring_phrases(table: DataFrame) -> DataFrame:
     )
 
 
+def text_hash(text: str) -> int:
+    """What Spark's xxhash64 gives for a string."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 class Normal:
     """Texts as ' word word ... ', with the place of each word's leading space."""
 
@@ -104,9 +112,15 @@ class Normal:
         return self.at[a : b + 1] - self.at[a]
 
 
-def _patterns(text: str, at: np.ndarray, picks: list[dict], k: int) -> Iterator[tuple]:
-    """(copies, word position, pattern) of a canonical document's joined phrases."""
+def _patterns(text: str, at: np.ndarray, picks: list[dict], k: int, phrase: np.ndarray) -> Iterator[tuple]:
+    """(copies, word position, pattern) of a canonical document's joined phrases.
+
+    ``phrase`` has the text's phrase hashes: picks of another text under the same doc_id are left out.
+    """
+    picks = [p for p in picks if p["pos"] + k < len(at) and int(phrase[p["pos"]]) == p["fp"]]
     picks = sorted({p["pos"]: p for p in picks}.values(), key=lambda p: p["pos"])
+    if not picks:
+        return
     fp, pos = np.int64([p["fp"] for p in picks]).view(np.uint64), np.int64([p["pos"] for p in picks])
     gap = np.diff(pos)
     there, back = _link(fp[1:], gap), _link(fp[:-1], gap)
@@ -130,13 +144,14 @@ def to_shards(rows: DataFrame, k: int) -> DataFrame:
             texts = texts.to_pylist()
             for lo, hi in W.chunks(texts):
                 normal = Normal(texts[lo:hi])
+                phrase = W.phrases(normal.w, k).view(np.int64)
                 out: list[tuple] = []
                 for i in range(lo, hi):
                     d = ids[i].as_py()
                     out += [(r["shard"] * 1024 + min(r["copies"], 1023), int(W.mix(np.uint64([d & (2**63 - 1)]))[0] % np.uint64(r["copies"])), 1, d, 0, texts[i]) for r in routes[i].as_py()]
                     if p := picks[i].as_py():
                         shard, text, at = p[0]["shard"], normal.text(i - lo), normal.places(i - lo)
-                        for copies, pos, body in _patterns(text, at, p, k):
+                        for copies, pos, body in _patterns(text, at, p, k, phrase[normal.w.ptr[i - lo] : normal.w.ptr[i - lo + 1]]):
                             out += [(shard * 1024 + min(copies, 1023), c, 0, d, pos, body) for c in range(copies)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string()), strict=True)], names)
@@ -149,15 +164,15 @@ class Matches:
 
     def __init__(self, shard: int, k: int, size: int):
         self.shard, self.split, self.k, self.size = shard, shard % 1024 > 1, k, size
-        self.whole: list[tuple[np.ndarray, ...]] = []  # key, doc_id, word, end word, start, end
+        self.whole: list[tuple[np.ndarray, ...]] = []  # key, doc_id, text hash, word, end word, start, end
         self.around: list[tuple[np.ndarray, ...]] = []
 
-    def add(self, ids: np.ndarray, doc: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, w: W.Words) -> None:
-        """Patterns n are at words a to b of the documents numbered doc in w, whose ids are ``ids``."""
+    def add(self, ids: np.ndarray, texts: np.ndarray, doc: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, w: W.Words) -> None:
+        """Patterns n are at words a to b of the documents numbered doc in w, whose ids and text hashes are given."""
         size, more, base = self.size, self.size - self.k, w.ptr[doc]
         key = W.mix(n.astype(np.uint64) ^ W.mix(np.uint64([self.shard])))
         long = b - a >= size
-        self.whole.append(tuple(x[long] for x in (key, ids[doc], a, b, w.start[base + a], w.end[base + b - 1])))
+        self.whole.append(tuple(x[long] for x in (key, ids[doc], texts[doc], a, b, w.start[base + a], w.end[base + b - 1])))
         far = b - a >= 2 * size
         lo = np.concatenate((base + a - more, (base + b - size)[far]))
         hi = np.concatenate((base + np.where(far, a + size, b + more), (base + b + more)[far]))
@@ -170,18 +185,18 @@ class Matches:
         at = np.flatnonzero(np.cumsum(change[:-1]) > 0)
         of = np.searchsorted(w.ptr, at, side="right") - 1
         first = at - w.ptr[of]
-        self.around.append((W.phrases(w, size)[at], ids[of], first, first + size, w.start[at].astype(np.int32), w.end[at + size - 1].astype(np.int32)))
+        self.around.append((W.phrases(w, size)[at], ids[of], texts[of], first, first + size, w.start[at].astype(np.int32), w.end[at + size - 1].astype(np.int32)))
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         """Repeated spans. Of an automaton that several tasks have, what other tasks may change comes with the key by which to compare."""
         for kept in (self.whole, self.around):
             if kept:
-                key, d, a, b, s, e = (np.concatenate(x) for x in zip(*kept, strict=True))
+                key, d, t, a, b, s, e = (np.concatenate(x) for x in zip(*kept, strict=True))
                 kept.clear()
                 if len(key):
-                    yield from self._emit(key, d, a, b, s, e)
+                    yield from self._emit(key, d, t, a, b, s, e)
 
-    def _emit(self, key: np.ndarray, d: np.ndarray, a: np.ndarray, b: np.ndarray, s: np.ndarray, e: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def _emit(self, key: np.ndarray, d: np.ndarray, t: np.ndarray, a: np.ndarray, b: np.ndarray, s: np.ndarray, e: np.ndarray) -> Iterator[pa.RecordBatch]:
         by = np.argsort(key)
         first = np.flatnonzero(np.concatenate(([True], key[by][1:] != key[by][:-1])))
         low, high = np.minimum.reduceat(d[by], first), np.maximum.reduceat(d[by], first)
@@ -191,20 +206,20 @@ class Matches:
         if self.split:
             # The smallest of these documents may not be the smallest of all, and what one has others may have elsewhere.
             if (late := np.flatnonzero(least)).size:
-                yield self._batch(key[late], True, d[late], a[late], b[late], s[late], e[late], shared[late])
+                yield self._batch(key[late], True, d[late], t[late], a[late], b[late], s[late], e[late], shared[late])
             shared &= ~least
-        d, a, b, s, e, own = (x[shared] for x in (d, a, b, s, e, least))
+        d, t, a, b, s, e, own = (x[shared] for x in (d, t, a, b, s, e, least))
         if len(d):  # overlapping and touching spans of a document become one, as they do in the end
-            by = np.lexsort((a, own, d))
-            d, a, b, s, e, own = (x[by] for x in (d, a, b, s, e, own))
-            group = np.cumsum(np.concatenate(([0], (d[1:] != d[:-1]) | (own[1:] != own[:-1])))) << 32
+            by = np.lexsort((a, own, t, d))
+            d, t, a, b, s, e, own = (x[by] for x in (d, t, a, b, s, e, own))
+            group = np.cumsum(np.concatenate(([0], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (own[1:] != own[:-1])))) << 32
             top = np.maximum.accumulate(group + b)
             begin = np.flatnonzero(np.concatenate(([True], (group + a)[1:] > top[:-1])))
-            yield self._batch(np.zeros(len(begin), np.uint64), False, d[begin], a[begin], np.maximum.reduceat(b, begin), s[begin], np.maximum.reduceat(e, begin), own[begin])
+            yield self._batch(np.zeros(len(begin), np.uint64), False, d[begin], t[begin], a[begin], np.maximum.reduceat(b, begin), s[begin], np.maximum.reduceat(e, begin), own[begin])
 
     @staticmethod
-    def _batch(key: np.ndarray, late: bool, d: np.ndarray, a: np.ndarray, b: np.ndarray, s: np.ndarray, e: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(d), late)), pa.array(d), *[pa.array(x.astype(np.int32)) for x in (a, b, s, e)], pa.array(own)], ["key", "open", "doc_id", "a", "b", "start", "end", "own"])
+    def _batch(key: np.ndarray, late: bool, d: np.ndarray, t: np.ndarray, a: np.ndarray, b: np.ndarray, s: np.ndarray, e: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(d), late)), pa.array(d), pa.array(t), *[pa.array(x.astype(np.int32)) for x in (a, b, s, e)], pa.array(own)], ["key", "open", "doc_id", "text_hash", "a", "b", "start", "end", "own"])
 
 
 def stream(rows: DataFrame, k: int, size: int) -> DataFrame:
@@ -224,7 +239,7 @@ def stream(rows: DataFrame, k: int, size: int) -> DataFrame:
                         a, b = np.searchsorted(normal.places(i), np.stack((end + 1 - size_of[n], end)))
                         hits.append((np.full(len(n), i), n, a, b))
                 if hits:
-                    found.add(np.int64([d for d, _ in texts[lo:hi]]), *(np.concatenate(x) for x in zip(*hits, strict=True)), normal.w)
+                    found.add(np.int64([d for d, _ in texts[lo:hi]]), np.int64([text_hash(t) for _, t in texts[lo:hi]]), *(np.concatenate(x) for x in zip(*hits, strict=True)), normal.w)
             texts.clear()
 
         for batch in batches:
@@ -252,7 +267,7 @@ def stream(rows: DataFrame, k: int, size: int) -> DataFrame:
         if now is not None:
             yield from found.rows()
 
-    return rows.mapInArrow(run, "key long, open boolean, doc_id long, a int, b int, start int, end int, own boolean")
+    return rows.mapInArrow(run, "key long, open boolean, doc_id long, text_hash long, a int, b int, start int, end int, own boolean")
 
 
 def merge_hits(hits: DataFrame, min_words: int) -> DataFrame:
@@ -261,13 +276,13 @@ def merge_hits(hits: DataFrame, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for d, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for d, t, found in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 found = sorted({(h["a"], h["b"], h["start"], h["end"], h["own"]) for h in found})
                 now = None
                 for a, b, s, e, own in [*found, (1 << 31, 0, 0, 0, True)]:
                     if now and a > now[1]:
                         if now[1] - now[0] >= min_words:
-                            out.append((d, now[2], now[3], now[1] - now[0], now[0], [{"start": x[2], "end": x[3]} for x in now[4]]))
+                            out.append((d, t, now[2], now[3], now[1] - now[0], now[0], [{"start": x[2], "end": x[3]} for x in now[4]]))
                         now = None
                     if now is None:
                         now = [a, b, s, e, []]
@@ -281,14 +296,14 @@ def merge_hits(hits: DataFrame, min_words: int) -> DataFrame:
                             now[4].append([a, b, s, e])
             if out:
                 c = list(zip(*out, strict=True))
-                t = (pa.int64(), *[pa.int32()] * 4, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, t, strict=True)], ["doc_id", "start", "end", "n_words", "word_start", "removed"])
+                kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], ["doc_id", "text_hash", "start", "end", "n_words", "word_start", "removed"])
 
-    return hits.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b", "start", "end", "own")).alias("hits")).mapInArrow(run, SCHEMA)
+    return hits.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("a", "b", "start", "end", "own")).alias("hits")).mapInArrow(run, SCHEMA)
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
-    """Passages (doc_id, start, end, n_words, word_start, removed) that recur across documents, in all documents that hold them.
+    """Passages (doc_id, text_hash, start, end, n_words, word_start, removed) that recur across documents, in all documents that hold them.
 
     start and end are offsets in the text; ``removed`` lists the spans that a smaller doc_id holds too.
     """
@@ -303,7 +318,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ways = found.groupBy("doc_id").agg(F.collect_set(F.struct("shard", "copies")).alias("routes"), F.collect_list(pick).alias("picks"))
     rows = to_shards(docs.join(ways, "doc_id").select("doc_id", "text", "routes", "picks"), k)
     hits = scratch.save(stream(rows.repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind", "doc_id", "pos"), k, min_words), "hits")
-    columns = ["doc_id", "a", "b", "start", "end", "own"]
+    columns = ["doc_id", "text_hash", "a", "b", "start", "end", "own"]
     by = Window.partitionBy("key")
     # Here own says whether two documents of the task had it.
     late = hits.where("open").withColumns({"least": F.min("doc_id").over(by), "most": F.max("doc_id").over(by), "sure": F.max("own").over(by)}).where("least <> most or sure").withColumn("own", F.col("doc_id") == F.col("least"))
@@ -318,5 +333,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows of the cut documents keep their other columns; a text of which no word is left is dropped.
     """
     spans = repeated_passages(df, id_col, text_col, **options).where(F.size("removed") > 0)
-    spans = spans.select("doc_id", F.explode("removed").alias("s")).groupBy("doc_id").agg(F.collect_set("s").alias("spans"))
+    spans = spans.select("doc_id", "text_hash", F.explode("removed").alias("s")).groupBy("doc_id", "text_hash").agg(F.collect_set("s").alias("spans"))
     return cut_spans(df, spans, id_col, text_col)
