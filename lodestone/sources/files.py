@@ -48,7 +48,7 @@ def with_row_id(df: DataFrame, order: list[str] | None = None, name: str = "row_
             return df.withColumn(name, F.lit(0).cast("long"))
         base = F.create_map(*[F.lit(x) for p, s in start.items() for x in (p, s)])
         return parts.withColumn(name, (base[F.col("__p")] + F.row_number().over(w) - 1).cast("long")).drop("__p")
-    schema = StructType(df.schema.fields).add(name, "long")
+    schema = StructType(list(df.schema.fields)).add(name, "long")
     return df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])).toDF(schema)
 
 
