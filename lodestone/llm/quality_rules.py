@@ -1,7 +1,7 @@
 """Quality rules: a table of thresholds compiled into one Spark projection.
 
 ``RULES`` has a row for each rule: the metric and the range in which it must lie. Metrics are
-length, symbol, stop-word and line ratios, all built-in expressions; the same table makes the
+length, symbol, stop-word, repetition and line ratios, all built-in expressions; the same table makes the
 equivalent SQL. No shuffle, no user function; one pass.
 
 Defined results: null text counts as empty. An empty or wordless text has all ratios 0 and fails the
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-SYMBOLS = "#$%&*|{}<>~^@_+=\\"
+SYMBOLS = "#$%&*|{}<>~^=\\"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÆÇÈÉÊËÍÎÏÑÓÔÖŒÙÚÛÜ"
 MARKS = ",.;:!?\"()[]"
 STOP = {
@@ -42,12 +42,15 @@ RULES = [
     Rule("symbols", "symbols_per_word", 0.0, 0.1),
     Rule("capitals", "capital_ratio", 0.0, 0.5),
     Rule("stop_words", "stop_word_ratio", 0.02, 1.0),
+    Rule("repeated_words", "distinct_word_ratio", 0.3, 1.0),
     Rule("repeated_lines", "repeated_line_ratio", 0.0, 0.35),
     Rule("bullets", "bullet_line_ratio", 0.0, 0.9),
     Rule("ellipses", "ellipsis_line_ratio", 0.0, 0.3),
 ]
-#: Documents of fewer words aren't held against the stop words.
+#: Documents of fewer words aren't held against stop words and repeated words.
 STOP_FROM = 20
+#: Words of longer documents recur anyway: their number counts as this at most when distinct words are put in relation to it.
+DISTINCT_OF = 1000
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -79,6 +82,7 @@ def counts(text: Column, lang: Column) -> Column:
         _count(t, SYMBOLS).alias("symbols"),
         _count(t, UPPER).alias("capitals"),
         stops.alias("stops"),
+        F.size(F.array_remove(F.array_distinct(words), "")).alias("distinct"),
         F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "").alias("lines"),
     )
 
@@ -92,6 +96,7 @@ def metrics(c: Column) -> dict[str, Column]:
         "symbols_per_word": _ratio(c["symbols"], n),
         "capital_ratio": _ratio(c["capitals"], c["solid"]),
         "stop_word_ratio": _ratio(c["stops"], n),
+        "distinct_word_ratio": F.least(_ratio(c["distinct"], F.least(n, F.lit(DISTINCT_OF))), F.lit(1.0)),
         "repeated_line_ratio": _ratio(F.size(lines) - F.size(F.array_distinct(lines)), F.size(lines)),
         "bullet_line_ratio": _ratio(F.size(F.filter(lines, lambda x: F.substring(x, 1, 1).isin("-", "*", "•"))), F.size(lines)),
         "ellipsis_line_ratio": _ratio(F.size(F.filter(lines, lambda x: x.endswith("...") | x.endswith("…"))), F.size(lines)),
@@ -100,7 +105,7 @@ def metrics(c: Column) -> dict[str, Column]:
 
 def _passes(rule: Rule, m: dict[str, Column]) -> Column:
     ok = m[rule.metric].between(rule.low, rule.high)
-    return ok | (m["n_words"] < STOP_FROM) if rule.name == "stop_words" else ok
+    return ok | (m["n_words"] < STOP_FROM) if rule.name in ("stop_words", "repeated_words") else ok
 
 
 def _counted(df: DataFrame, text_col: str, lang_col: str, keep: list[Column]) -> tuple[DataFrame, str]:
@@ -144,7 +149,7 @@ def _sql() -> str:
 
     stop = "CASE " + " ".join(f"WHEN lang = '{k}' THEN {stops(s)}" for k, s in STOP.items()) + f" ELSE {stops(sorted({w for s in STOP.values() for w in s}))} END"
     blank = r"[ \t\n\r]+"
-    fails = ", ".join(f"CASE WHEN NOT ({r.metric} BETWEEN {r.low} AND {r.high}" + (f" OR n_words < {STOP_FROM}" if r.name == "stop_words" else "") + f") THEN '{r.name}' END" for r in RULES)
+    fails = ", ".join(f"CASE WHEN NOT ({r.metric} BETWEEN {r.low} AND {r.high}" + (f" OR n_words < {STOP_FROM}" if r.name in ("stop_words", "repeated_words") else "") + f") THEN '{r.name}' END" for r in RULES)
     return f"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
 s AS (SELECT *, list_filter(regexp_split_to_array(translate(lower(t), {q(MARKS)}, ''), '{blank}'), lambda w: w <> '') AS words,
@@ -153,6 +158,7 @@ s AS (SELECT *, list_filter(regexp_split_to_array(translate(lower(t), {q(MARKS)}
   length(translate(t, ' ' || chr(9) || chr(10) || chr(13), '')) AS solid FROM d),
 m AS (SELECT doc_id, n_words, {ratio("solid", "n_words")} AS mean_word_length, {ratio(count(SYMBOLS), "n_words")} AS symbols_per_word,
   {ratio(count(UPPER), "solid")} AS capital_ratio, {ratio(stop, "n_words")} AS stop_word_ratio,
+  least({ratio("len(list_distinct(words))", f"least(n_words, {DISTINCT_OF})")}, 1.0) AS distinct_word_ratio,
   {ratio("len(lines) - len(list_distinct(lines))", "len(lines)")} AS repeated_line_ratio,
   {ratio("len(list_filter(lines, lambda x: x[1:1] IN ('-', '*', '•')))", "len(lines)")} AS bullet_line_ratio,
   {ratio("len(list_filter(lines, lambda x: x LIKE '%...' OR x LIKE '%…'))", "len(lines)")} AS ellipsis_line_ratio FROM s),

@@ -81,12 +81,12 @@ def test_chat_format_merges_and_orders(spark):
 
 
 def test_quality_rules(spark):
-    good = "The cat of the house is in the garden, and it was on that for a day as with the other. " * 3
-    rows = [(1, good), (2, None), (3, ""), (4, good.upper()), (5, " ".join(w + "$$$" for w in good.split())), (6, "same line here\n" * 9), (7, "zz " * 40), (8, "ok two words"), (1, good)]
+    good = "The cat of the house is in the garden, and it was on that for a day as with the other. Morning light fell over quiet fields while children carried baskets toward river gates near older mills."
+    rows = [(1, good), (2, None), (3, ""), (4, good.upper()), (5, " ".join(w + "$$$" for w in good.split())), (6, "same line here\n" * 9), (7, prose(30, 7)), (10, "the of " * 40), (8, "ok two words"), (1, good)]
     v = quality_rules.verdicts(docs(spark, rows, extra=True))
     failed = {(r.doc_id): r.failed for r in v.collect()}
     assert failed[1] == "" and failed[8] == "" and "length" in failed[2] and "length" in failed[3]
-    assert "capitals" in failed[4] and "symbols" in failed[5] and "repeated_lines" in failed[6] and "stop_words" in failed[7]
+    assert "capitals" in failed[4] and "symbols" in failed[5] and "repeated_lines" in failed[6] and "stop_words" in failed[7] and failed[10] == "repeated_words"
     kept = quality_rules.keep_good(docs(spark, rows, extra=True))
     assert kept.columns == docs(spark, rows, extra=True).columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 1, 8]
