@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes of a batch that goes to a Python worker, unless the session says otherwise: long texts then cost no more memory than short ones.
+BATCH_BYTES = 4 << 20
 
 
 def local_session(name: str = "lodestone", cores: int | str = 8, partitions: int = 8) -> SparkSession:
@@ -28,8 +30,10 @@ def local_session(name: str = "lodestone", cores: int | str = 8, partitions: int
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, wherever the driver was started."""
+    """Make this package importable in Python workers, wherever the driver was started, and bound the batches they get."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
