@@ -47,7 +47,7 @@ class ClusterOptions(Options):
     max_points: int = option(700, 1)
     min_points: int = option(20, 1)
     coverage_sample: int = option(10_000, 10)
-    families: tuple[str, ...] = ("kmeans", "gmm")
+    families: tuple[str, ...] = ("kmeans", "gmm", "density")
     max_clusters: int | None = option(None, 2)
     seed: int = option(0)
 

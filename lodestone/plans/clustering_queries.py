@@ -152,3 +152,25 @@ def mixture_bic(spark, sf):
     """BIC of Gaussian mixtures with diagonal covariance over the first dimensions."""
     f = features(spark, sf).select("row_id", F.slice("features", 1, 4).alias("features"))
     return spark.createDataFrame([(kind, k, bic) for kind, k, bic in C.mixture_shortlist(f, [2, 3], ["diag", "tied"], 2)], "kind string, k int, bic double")
+
+
+@register("density_clusters")
+def density_clusters(spark, sf):
+    """Hierarchical density clusters of the first dimensions, with their validity."""
+    from ..operators import density
+
+    f = features(spark, sf).where("row_id < 500").select("row_id", F.slice("features", 1, 3).alias("features"))
+    out = density.fit_density(f, 10, 5)
+    return out.groupBy("label").agg(F.count("*").alias("size")).withColumn("validity", F.lit(density.validity(out)))
+
+
+@register("natural_model")
+def natural_model(spark, sf):
+    """Two families on a few rows: candidates with their scores."""
+    from ..config import ClusterOptions
+    from .workflows import natural_model as run
+
+    f = features(spark, sf).where("row_id < 40").select("row_id", F.slice("features", 1, 3).alias("features"))
+    found, quality, _ = run(f, ClusterOptions(max_clusters=3, families=("kmeans", "density")))
+    rows = [(c.family, str(c.params), c.metrics.get("silhouette"), c.metrics.get("stability"), c.internal, c.final, ",".join(c.reasons), quality) for c in found]
+    return spark.createDataFrame(rows, "family string, params string, silhouette double, stability double, internal double, final double, reasons string, quality string")

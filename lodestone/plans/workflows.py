@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import ClusterOptions, LearnOptions
-from ..operators import acquisition, clustering, encode, hygiene, models, search, stats
+from ..operators import acquisition, clustering, density, encode, hygiene, models, search, stats
 from ..operators import vectors as V
 from ..session import Scratch
 from ..sources.files import nan_to_null
@@ -108,7 +108,19 @@ def natural_model(features: DataFrame, options: ClusterOptions) -> tuple[list[cl
     top = clustering.k_max(n, options.max_clusters)
     found, winners = [], []
     for family in options.families:
-        if family == "gmm" and clustering.tier(n) == "ultra_large":
+        if family in {"gmm", "density"} and clustering.tier(n) == "ultra_large":
+            continue
+        if family == "density":
+            grid = dict(enumerate(density.density_grid(n)))
+            part = clustering.sweep(features, list(grid), family, lambda x, k, seed: density.fit_density(x, *grid[k]), 1, s["silhouette"], s["repeats"])
+            for c in part:
+                c.params = dict(zip(("min_size", "min_samples"), grid[c.params["k"]], strict=True))
+                if not c.reasons and (v := density.validity(c.labels)) is not None:
+                    c.metrics["density"] = v
+            clustering.internal_scores(part, density=True)
+            found += part
+            if (best := clustering.simplest(part)) is not None:
+                winners.append(best)
             continue
         if family == "gmm":
             d = len(features.first().features)

@@ -44,7 +44,7 @@ def test_query_against_sql(spark, sf, duck, name):
     assert text_rows(got) == text_rows(want)
 
 
-@pytest.mark.parametrize("name", ["clean_columns", "quartile_diversity", "quartile_exploration", "representative_select", "exploratory_select", "natural_select", "group_allocation", "evaluate_selection", "pca_safeguard", "map_2d", "budget_grid", "mixture_bic", "cluster_representative", "learning_round"])
+@pytest.mark.parametrize("name", ["clean_columns", "quartile_diversity", "quartile_exploration", "representative_select", "exploratory_select", "natural_select", "group_allocation", "evaluate_selection", "pca_safeguard", "map_2d", "budget_grid", "mixture_bic", "density_clusters", "natural_model", "cluster_representative", "learning_round"])
 def test_query_without_sql_runs(spark, sf, name):
     assert registry.QUERIES[name](spark, sf).count() > 0
 
@@ -229,6 +229,28 @@ def test_three_blobs_are_found(spark):
     assert bic < C.gaussian_mixture(f, 2, "tied")[1]
 
 
+def test_density_clusters():
+    from lodestone.operators import density
+
+    r = np.random.default_rng(0)
+    x = np.concatenate([r.normal((0, 0), 0.2, (40, 2)), r.normal((5, 0), 0.5, (60, 2)), r.normal((0, 8), 0.3, (30, 2)), r.uniform(-20, 20, (6, 2))])
+    y = density.hierarchical_density(x, 8, 4)
+    assert len(set(y.tolist()) - {-1}) == 3
+    for a, b in ((0, 40), (40, 100), (100, 130)):
+        top = np.bincount(y[a:b][y[a:b] >= 0]).max()
+        assert top >= 0.9 * (b - a)
+    assert density.density_validity(x, y) > density.density_validity(x, r.permutation(y)) and density.density_validity(x, np.zeros(len(x), int)) is None
+    t, full = density.spanning_tree(x, np.zeros(len(x))), np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    seen, total = {0}, 0.0
+    while len(seen) < len(x):
+        rest = [i for i in range(len(x)) if i not in seen]
+        sub = full[np.ix_(sorted(seen), rest)]
+        total += sub.min()
+        seen.add(rest[int(sub.min(0).argmin())])
+    assert t[:, 2].sum() == pytest.approx(total)
+    assert density.hierarchical_density(x[:3], 8, 4).tolist() == [-1] * 3
+
+
 def test_integer_search_finds_the_top():
     assert search.IntegerSearch(lambda k: -((k - 37) ** 2), 2, 60).run() in range(35, 40)
 
