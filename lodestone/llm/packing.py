@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import ship
+from ..session import Scratch, ship
 from . import _tokens as T
 
 GROUP = 2048
@@ -90,7 +90,8 @@ def split(examples: DataFrame, limits: Limits) -> DataFrame:
 def pack_examples(examples: DataFrame, limits: Limits = Limits(), group: int = GROUP) -> DataFrame:
     """Packs of examples (doc_id, tokens, segments, loss): totals, and the ids and parts that each holds."""
     ship(examples.sparkSession)
-    parts = split(examples.where(F.col("doc_id").isNotNull()), limits)
+    # Demands are a few numbers an example; written once, so that texts aren't tokenized again after the count.
+    parts = Scratch(examples.sparkSession, "packing").save(split(examples.where(F.col("doc_id").isNotNull()), limits), "parts")
     groups = max(1, -(-parts.count() // group))
     limit = np.float64([limits.tokens, limits.segments, limits.loss])
 
