@@ -37,6 +37,7 @@ class ClusterOptions(Options):
     mode: str = option("representative", among=("representative", "exploratory", "natural"))
     categorical: str = option("onehot", among=("onehot", "numbers"))
     auto_fill: bool = option(True)
+    impute: str = option("knn", among=("knn", "mean"))
     evaluate: bool = option(False)
     missing: float = option(0.30, 0.0, 1.0)
     near_constant: float = option(0.98, 0.5, 1.0)

@@ -67,6 +67,12 @@ def knn_impute(df: DataFrame, key: str, columns: list[str], k: int = 5) -> DataF
     return joined.select(*[F.coalesce(F.col(c).cast("double"), F.try_element_at("m", F.lit(columns.index(c))), F.col(f"__m{columns.index(c)}")).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def mean_impute(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Missing values as the column's mean: one aggregation, for tables that are too large to compare rows."""
+    m = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(m[f"m{i}"])) for i, c in enumerate(columns)})
+
+
 def covariance(df: DataFrame, column: str = "features") -> tuple[np.ndarray, np.ndarray, int]:
     """Mean, covariance and row count of an array column, summed by partition: what comes to the driver is p by p."""
     import pyarrow as pa

@@ -51,7 +51,7 @@ def prepare(df: DataFrame, options: ClusterOptions, key: str) -> tuple[DataFrame
         if any(gaps):
             if not options.auto_fill:
                 raise hygiene.MissingValues(f"missing values in {', '.join(c for c in cols if gaps[c])}")
-            d = encode.knn_impute(d, key, cols)
+            d = encode.knn_impute(d, key, cols) if options.impute == "knn" else encode.mean_impute(d, cols)
         return d, cols
 
     clean, columns, why = stats.clean_columns(df, columns, options.missing, options.near_constant, options.correlation, ready)

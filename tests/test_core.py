@@ -284,6 +284,17 @@ def test_learning_round(spark):
     assert out.number == 1 and out.table.where("batch = 1").count() == 2 and out.ranking.count() == 2 and out.history.count() == 1
 
 
+def test_command_line(spark, tmp_path):
+    from lodestone import __main__ as cli
+
+    pd.DataFrame({"id": [f"m{i}" for i in range(20)], "x": [float(i * i % 17) for i in range(20)], "z": [float(i % 7) for i in range(20)]}).to_csv(tmp_path / "t.csv", index=False)
+    assert cli.main(["cluster", "--input", str(tmp_path / "t.csv"), "--output", str(tmp_path / "out"), "--key", "ID", "--n_points", "4"]) == 0
+    out = spark.read.csv(str(tmp_path / "out/batch_0"), header=True, inferSchema=True)
+    assert out.where("batch = 0").count() == 4 and out.columns == ["id", "x", "z", "batch"]
+    assert cli.main(["cluster", "--input", str(tmp_path / "t.csv"), "--output", str(tmp_path / "o2"), "--bad", "1"]) == 2
+    assert cli.options_of(ClusterOptions, {"ignore": "[a, b]", "no_auto_fill": "", "n_points": "x"}) == ClusterOptions(ignore=("a", "b"), auto_fill=False)
+
+
 def test_options_fall_back():
     o = ClusterOptions(mode="x", missing=3.0, n_points=-1)
     assert (o.mode, o.missing, o.n_points) == ("representative", 0.30, None) and LearnOptions(tolerance="wide").delta == 0.10
