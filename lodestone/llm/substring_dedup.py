@@ -228,6 +228,7 @@ def stream(rows: DataFrame, k: int, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, machine, lengths, made, found = None, None, [], False, None
         texts: list[tuple[int, str]] = []
+        held = 0
 
         def scan() -> None:
             size_of = np.int64(lengths)
@@ -261,9 +262,12 @@ def stream(rows: DataFrame, k: int, size: int) -> DataFrame:
                         machine.make_automaton()
                         made = True
                     texts.append((cols[3][i], body[i].as_py()))
-                    if len(texts) >= 256:
+                    held += len(texts[-1][1])
+                    if held >= W.CHUNK:
                         scan()
+                        held = 0
             scan()
+            held = 0
         if now is not None:
             yield from found.rows()
 
