@@ -66,11 +66,17 @@ class Scratch:
         """Write a table and return a DataFrame that reads it; an older table of that name stays until dropped."""
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        root, system = self._place(self.root)
+        system.deleteOnExit(root)  # what is still there when the driver ends
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _place(self, path: str):
+        jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(sc._jsc.hadoopConfiguration())
+
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
-        jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            path, system = self._place(f"{self.root}/{name}")
+            system.delete(path, True)
