@@ -7,6 +7,10 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 
+#: Up to so many rows quantiles come from one aggregation that holds a column's distinct values; beyond, from brackets. Both are exact.
+ROWS_AT_ONCE = 2_000_000
+
+
 def unpivot(df: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFrame:
     """(keep..., descriptor, value) with doubles."""
     return df.select(*keep, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(list(keep), columns, "descriptor", "value")
@@ -22,11 +26,51 @@ def modal_share(df: DataFrame, columns: list[str]) -> DataFrame:
     return counts.groupBy("descriptor").agg(F.sum("c").alias("n"), F.count("*").alias("n_distinct"), (F.max("c") / F.sum("c")).alias("top_share"))
 
 
+def quantiles(df: DataFrame, columns: list[str], probs: tuple[float, ...] = (0.25, 0.5, 0.75), accuracy: int = 10_000) -> dict[str, list[float | None]]:
+    """Exact quantiles with linear interpolation, without gathering a column's values in one place.
+
+    A sketch brackets each quantile; the values below the brackets are counted, and only those inside, by distinct
+    value, are put in order. So what is sorted is a few parts in 10,000 of the rows.
+    """
+    margin = 3.0 / accuracy
+    x = {c: F.col(c).cast("double") for c in columns}
+    ends = F.array(*[F.lit(min(1.0, max(0.0, p + d))) for p in probs for d in (-margin, margin)])
+    first = df.agg(*[F.struct(F.count(c).alias("n"), F.percentile_approx(x[c], ends, accuracy).alias("b"), F.min(x[c]).alias("lo"), F.max(x[c]).alias("hi")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    cells = []  # column, quantile, bracket, the two ranks and the weight of the second
+    for i, c in enumerate(columns):
+        r = first[i]
+        for j, p in enumerate(probs):
+            if r.n:
+                at = (r.n - 1) * p
+                low = r.lo if p - margin <= 0 else r.b[2 * j]
+                high = r.hi if p + margin >= 1 else r.b[2 * j + 1]
+                cells.append((i, j, low, high, math.floor(at), math.ceil(at), at - math.floor(at)))
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
+    if not cells:
+        return out
+    below = df.agg(*[F.count_if(x[columns[i]] < F.lit(low)).alias(f"b{k}") for k, (i, _, low, *_) in enumerate(cells)]).first()
+    inside = F.array(*[F.when(x[columns[i]].between(F.lit(low), F.lit(high)), F.struct(F.lit(k).alias("k"), x[columns[i]].alias("v"))) for k, (i, _, low, high, *_) in enumerate(cells)])
+    counts = df.select(F.explode(F.array_compact(inside)).alias("e")).groupBy("e.k", "e.v").agg(F.count("*").alias("n"))
+    need = lambda what: F.element_at(F.array(*[F.lit(int(v)) for v in what]), F.col("k") + 1)
+    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("k").orderBy("v")))
+    ranked = upto.groupBy("k").agg(*[F.min(F.when(F.col("upto") > need([c[4 + a] - below[k] for k, c in enumerate(cells)]), F.col("v"))).alias(f"v{a}") for a in (0, 1)])
+    for r in ranked.collect():
+        i, j, *_, part = cells[r.k]
+        out[columns[i]][j] = r.v0 if part == 0 else r.v0 + (r.v1 - r.v0) * part
+    return out
+
+
 def robust_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """(descriptor, sd, q1, median, q3, iqr, rel): rel = iqr / (|median| + iqr), 0 where that is 0."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    s = unpivot(df, columns).groupBy("descriptor").agg(F.stddev_pop("value").alias("sd"), q.alias("q"))
-    s = s.select("descriptor", "sd", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")).withColumn("iqr", F.col("q3") - F.col("q1"))
+    names, sds = list(columns), [F.stddev_pop(F.col(c).cast("double")) for c in columns]
+    if df.count() <= ROWS_AT_ONCE:
+        # A column's distinct values fit in one place: one aggregation.
+        parts = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+        row = df.agg(*sds, *[F.percentile(F.col(c).cast("double"), parts) for c in names]).first()
+        sd, q = row[: len(names)], {c: row[len(names) + i] or [None] * 3 for i, c in enumerate(names)}
+    else:
+        sd, q = df.agg(*sds).first(), quantiles(df, names)
+    s = df.sparkSession.createDataFrame([(c, s, *q[c]) for c, s in zip(names, sd, strict=True)], "descriptor string, sd double, q1 double, median double, q3 double").withColumn("iqr", F.col("q3") - F.col("q1"))
     base = F.abs("median") + F.col("iqr")
     return s.withColumn("rel", F.when(base <= 1e-9, 0.0).otherwise(F.try_divide("iqr", base)))
 

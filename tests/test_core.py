@@ -105,6 +105,20 @@ def test_column_hygiene(spark):
         stats.clean_columns(abc, ["a", "b", "c"])
 
 
+def test_quantiles_by_brackets_are_exact(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    x = {"a": r.normal(size=3000), "b": r.integers(0, 3, 3000).astype(float), "c": r.exponential(size=3000), "d": np.full(3000, 7.0)}
+    x["c"][::4] = np.nan
+    df = files.nan_to_null(spark.createDataFrame(pd.DataFrame(x)))
+    got = stats.quantiles(df.withColumn("e", F.lit(None).cast("double")), [*x, "e"], (0.0, 0.25, 0.5, 0.75, 1.0), accuracy=200)
+    for c, v in x.items():
+        assert np.allclose(got[c], np.nanquantile(v, [0, 0.25, 0.5, 0.75, 1]))
+    assert got["e"] == [None] * 5
+    once = sorted(map(tuple, stats.robust_stats(df, list(x)).collect()))
+    monkeypatch.setattr(stats, "ROWS_AT_ONCE", 10)
+    assert all(np.allclose(a[1:], b[1:]) for a, b in zip(once, sorted(map(tuple, stats.robust_stats(df, list(x)).collect()))))
+
+
 def test_missing_and_duplicate_rows(spark):
     df = spark.createDataFrame([(1, "A"), (2, "A"), (3, None)], "row_id long, k string")
     assert sorted(r.row_id for r in hygiene.dedup_rows(df, ["row_id"], ["k"]).collect()) == [1, 3]
