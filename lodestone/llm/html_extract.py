@@ -173,7 +173,7 @@ class Field:
                 now[:n] = back[begin[:n] + t, now[:n]]
         return [labels[a:b] for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
 
-    def train(self, pages: list[list[list[int]]], labels: list[np.ndarray], rounds: int = 150, rate: float = 0.1, l2: float = 1e-3) -> None:
+    def train(self, pages: list[list[list[int]]], labels: list[np.ndarray], rounds: int = 100, rate: float = 0.1, l2: float = 1e-3) -> None:
         """Maximum likelihood by forward-backward over all pages at once, padded to the longest."""
         numbers, first, ptr = self.flat(pages)
         y, size = np.concatenate(labels).astype(int), np.diff(ptr)
@@ -330,7 +330,7 @@ def labelled_pages(n: int, seed: int = 3) -> Iterator[tuple[str, list[int]]]:
 
 
 @lru_cache(1)
-def trained(pages: int = 400, seed: int = 3) -> Field:
+def trained(pages: int = 300, seed: int = 3) -> Field:
     """The field, trained on this many labelled pages."""
     data = [(features(blocks(h)), np.int64(y)) for h, y in labelled_pages(pages, seed)]
     data = [(f, y) for f, y in data if len(f) == len(y) and len(y)]
