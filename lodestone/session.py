@@ -37,6 +37,7 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
+    # Only the driver reads this folder: Spark sends the file to the executors.
     target = Path(tempfile.mkdtemp(prefix="lodestone-ship-")) / "lodestone_ship.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
