@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_dir
 from . import chat_format, decontaminate, html_extract, license_scan, minhash_dedup, packing, quality_rules, substring_dedup, token_output, toxicity
 
 QUERIES, ORACLES = {}, {}
@@ -48,8 +51,9 @@ QUERIES["op5_decontaminate"] = op5_decontaminate
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All records in slot order, bytes included: what ``write_shards`` puts into files."""
-    return token_output.training_order(_table(spark, sf_dir, "documents"))
+    """All records in slot order, written to shard files in a new folder of the shared one and read back from them."""
+    folder = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    return token_output.stored_records(token_output.training_order(_table(spark, sf_dir, "documents")), folder)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

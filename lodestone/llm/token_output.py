@@ -9,13 +9,14 @@
    sampling. A record is ``2 + 2 * LENGTH`` bytes: the token count and the ids, 16 bits each in little-endian
    order, then zeros. So slot s is at byte ``(s % SLOTS) * stride`` of shard ``s // SLOTS``, and a reader
    resumes at any slot with one seek.
+4. Each partition writes its shards to files in the shared folder and returns their records as read from them.
 
 The slots depend on the key, the number of sequences and the order in which partitions hold them; written
 tables fix that order, so a retried task repeats it.
 
 Defined results: null id: row ignored. Null or empty text: no sequence. Texts of any length are tokenized
 whole. Repeated rows are separate documents. Fewer sequences than a shard: the last shard is
-short. An empty table gives no records. Other columns are ignored.
+short. An empty table gives no records and no file. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import Scratch, ship
 from . import _tokens as T
-from ._arrow import select_text
+from ._arrow import fixed_binary, select_text
 
 LENGTH, SLOTS, SHARDS_PER_TASK, KEY, ROUNDS = 512, 4096, 8, 0x5EED_CAFE, 8
 
@@ -148,6 +149,55 @@ def write_shards(records: DataFrame, folder: str) -> DataFrame:
     return records.select("slot", "shard", "record").mapInArrow(run, "shard long, first_slot long, n_slots long, bytes long, crc32 long")
 
 
+def stored_records(records: DataFrame, folder: str) -> DataFrame:
+    """The records of ``training_order`` as they are read back from their shard files, each with its file (URI).
+
+    A task writes a shard as ``write_shards`` does, reads the finished file again and compares it with what was
+    written; so a record that is returned is one that ``read_shards`` finds. The files are written when the result is first
+    computed, and stay.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        attempt = TaskContext.get().taskAttemptId()
+        now, out, crc, held = None, None, 0, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            out.close()
+            path = f"{root}/{shard_name(now)}"
+            system.move(f"{root}/.{shard_name(now)}.{attempt}", path)
+            with system.open_input_stream(path) as f:
+                data = f.read()
+            if zlib.crc32(data) != crc:
+                raise OSError(f"{path} doesn't hold what was written")
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            values = np.frombuffer(data, np.uint8).reshape(len(rows), -1)
+            names = pa.array([f"{folder}/{shard_name(now)}"] * len(rows))
+            yield pa.RecordBatch.from_arrays([*rows.columns, fixed_binary(values), names], [*rows.schema.names, "record", "file"])
+
+        for b in batches:
+            shards = b.column(1).to_numpy()
+            cuts = np.flatnonzero(np.diff(shards)) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shards)], strict=True):
+                if i == j:
+                    continue
+                if shards[i] != now:
+                    if now is not None:
+                        yield from close()
+                    now, crc, held = int(shards[i]), 0, []
+                    out = system.open_output_stream(f"{root}/.{shard_name(now)}.{attempt}")
+                data = b"".join(b.column(6).slice(i, j - i).to_pylist())
+                out.write(data)
+                crc = zlib.crc32(data, crc)
+                held.append(b.select(range(6)).slice(i, j - i))
+        if now is not None:
+            yield from close()
+
+    columns = ["slot", "shard", "offset", "doc_id", "part", "n_tokens", "record"]
+    return records.select(*columns).mapInArrow(run, "slot long, shard long, offset long, doc_id long, part int, n_tokens int, record binary, file string")
+
+
 def read_shards(folder: str, start: int = 0, length: int = LENGTH, slots: int = SLOTS) -> Iterator[tuple[int, np.ndarray]]:
     """(slot, token ids) from slot ``start`` on, in order: one seek, then sequential reads."""
     system, root = fs.FileSystem.from_uri(folder)

@@ -58,6 +58,15 @@ def test_token_output_has_every_document_whole(spark, sf, documents):
         assert tokens[-1] == T.END and e.decode(tokens[:-1]) == t
 
 
+def test_token_output_is_in_shard_files(spark, sf):
+    rows = queries.QUERIES["op3_token_output"](spark, sf).collect()
+    folder = rows[0].file.rpartition("/")[0]
+    want = [(r.slot, np.frombuffer(bytes(r.record), "<u2")[1 : 1 + r.n_tokens].tolist()) for r in sorted(rows)]
+    assert [(s, x.tolist()) for s, x in token_output.read_shards(folder)] == want
+    assert [s for s, _ in token_output.read_shards(folder, len(rows) - 5)] == list(range(len(rows) - 5, len(rows)))
+    assert all(r.file == f"{folder}/{token_output.shard_name(r.shard)}" for r in rows)
+
+
 def test_near_duplicates_against_all_pairs(spark, sf, documents):
     k = minhash_dedup.SHINGLE
     sets = {}
