@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is a run of documents of one partition, up to ``SHARD_SYMBOLS`` symbols. Its words are
+A shard is a run of documents of one partition, up to ``SHARD_SYMBOLS`` words and ends of documents. Its words are
 the symbols: each word of the test phrases has its own, all others are one separator (they
 can't be part of a match), of which runs are kept as one; documents are separated too. Over the
 shard's suffix array stand the Burrows-Wheeler transform, as a wavelet matrix with bit-packed ranks,
@@ -9,8 +9,9 @@ search at once; their occurrences are located by walking to the next sampled pos
 occurrences' words merge into removal spans.
 
 A test phrase is each run of ``n`` words of a benchmark item, or the whole item if it has fewer words, but
-``least`` or more. The benchmark is taken in slices of at most ``MAX_PHRASES`` phrases, of which one at a
-time is held by driver and workers.
+``least`` or more. The benchmark is taken in slices of about ``MAX_PHRASES`` phrases, of which one at a time is
+held by driver and workers. Each shard is searched for all slices, always in the original texts, and the spans, items and
+words of a document are merged over the slices before it is reported or cut: the slices change no result.
 
 Defined results: null id: row ignored (kept by ``decontaminate``). Null, empty, wordless text: clean. Case and separators
 don't count; a text of any length is indexed whole. Items that are null or shorter than ``least`` words are
@@ -20,10 +21,13 @@ once for each row. Empty documents or an empty benchmark give an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import ship
@@ -188,41 +192,54 @@ class Phrases:
 class Shard:
     """Documents until there are enough of them to index."""
 
-    def __init__(self, phrases: Phrases):
-        self.phrases, self.texts, self.parts, self.size = phrases, [], [], 0
+    def __init__(self):
+        self.parts, self.size = [], 0
 
     def add(self, texts: list) -> None:
         w = W.words(texts)
-        sym, word = self.phrases.symbols(w)
-        self.parts.append((sym, word, w.ptr, w.start.astype(np.int32), w.end.astype(np.int32)))
-        self.size += len(sym)
+        self.parts.append(replace(w, start=w.start.astype(np.int32), end=w.end.astype(np.int32), codes=None))
+        self.size += len(w.hash) + len(w)
 
-    def search(self) -> dict[int, tuple[list[tuple[int, int]], set[int], int]]:
-        """By number of the contaminated document: merged spans, items, words covered."""
-        p = self.phrases
+    def _occurrences(self, p: Phrases) -> tuple[np.ndarray, np.ndarray]:
+        """First words, counted over the shard, and phrases of all occurrences."""
         if not self.size or not len(p.table):
-            return {}
-        index = FMIndex(np.concatenate([x[0] for x in self.parts]), len(p.vocabulary) + 2)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        symbols, base = [], 0
+        for w in self.parts:
+            sym, word = p.symbols(w)
+            symbols.append((sym, np.where(word >= 0, word + base, -1)))
+            base += len(w.hash)
+        index = FMIndex(np.concatenate([x[0] for x in symbols]), len(p.vocabulary) + 2)
         lo, hi = index.find(p.table)
         found = np.flatnonzero(hi > lo)
         count = (hi - lo)[found]
         rows = np.repeat(lo[found] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        at, which = index.locate(rows), np.repeat(found, count)
-        word_base = np.cumsum([0, *[len(x[3]) for x in self.parts]])
-        word = np.concatenate([np.where(x[1] >= 0, x[1] + b, -1) for x, b in zip(self.parts, word_base, strict=False)])[at]
-        starts = np.concatenate([x[2][:-1] + b for x, b in zip(self.parts, word_base, strict=False)])
-        begin, end = (np.concatenate([x[k] for x in self.parts]) for k in (3, 4))
-        doc = np.searchsorted(starts, word, side="right") - 1
-        by = np.lexsort((word, doc))
+        return np.concatenate([x[1] for x in symbols])[index.locate(rows)], np.repeat(found, count)
+
+    def search(self, slices: Iterable[Phrases]) -> dict[int, tuple[list[tuple[int, int]], set[int], int]]:
+        """By number of the contaminated document: spans merged over all slices, items, words covered."""
+        first, last, items = [], [], defaultdict(set)
+        starts = np.concatenate([[0], *[np.diff(w.ptr) for w in self.parts]]).cumsum()[:-1]
+        for p in slices:
+            word, which = self._occurrences(p)
+            for d, i in set(zip((np.searchsorted(starts, word, side="right") - 1).tolist(), which.tolist(), strict=True)):
+                items[d] |= p.items[i]
+            first.append(word)
+            last.append(word + p.length[which])
+        if not items:
+            return {}
+        begin, end = (np.concatenate([getattr(w, k) for w in self.parts]) for k in ("start", "end"))
+        first, last = np.concatenate(first), np.concatenate(last)
+        doc = np.searchsorted(starts, first, side="right") - 1
+        by = np.lexsort((first, doc))
         out: dict[int, list] = {}
-        for d, a, i in zip(doc[by].tolist(), word[by].tolist(), which[by].tolist(), strict=True):
-            b, (spans, items) = a + int(p.length[i]), out.setdefault(d, ([], set()))
-            items |= p.items[i]
+        for d, a, b in zip(doc[by].tolist(), first[by].tolist(), last[by].tolist(), strict=True):
+            spans = out.setdefault(d, [])
             if spans and a <= spans[-1][1]:
                 spans[-1][1] = max(b, spans[-1][1])
             else:
                 spans.append([a, b])
-        return {d: ([(int(begin[a]), int(end[b - 1])) for a, b in spans], items, sum(b - a for a, b in spans)) for d, (spans, items) in out.items()}
+        return {d: ([(int(begin[a]), int(end[b - 1])) for a, b in spans], items[d], sum(b - a for a, b in spans)) for d, spans in out.items()}
 
 
 def _slices(benchmark: DataFrame, item_col: str, text_col: str, n: int, least: int) -> Iterator[Phrases]:
@@ -235,75 +252,82 @@ def _slices(benchmark: DataFrame, item_col: str, text_col: str, n: int, least: i
         yield Phrases(np.int64([r[0] for r in rows]), [r[1] for r in rows], n, least)
 
 
+def _shared(df: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, n: int, least: int) -> list[Broadcast]:
+    """All slices, broadcast one after the other."""
+    return [df.sparkSession.sparkContext.broadcast(p) for p in _slices(benchmark, item_col, item_text, n, least)]
+
+
+def _held(shared: list[Broadcast]) -> Iterator[Phrases]:
+    """The slices in a worker: one that is alone stays in memory, of several each is loaded and let go."""
+    for b in shared:
+        yield b.value
+        if len(shared) > 1 and b._path is not None:
+            del b._value  # the next value loads it again
+
+
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = N, least: int = LEAST) -> DataFrame:
     """(doc_id, spans, item_ids, n_words): documents that hold test phrases, with the merged spans to remove."""
     spark = df.sparkSession
     ship(spark)
-    docs, out = select_text(df, id_col, text_col), None
-    for phrases in _slices(benchmark, item_col, item_text, n, least):
-        shared = spark.sparkContext.broadcast(phrases)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            shard, ids = Shard(shared.value), []
-
-            def flush() -> Iterator[pa.RecordBatch]:
-                if found := shard.search():
-                    d = sorted(found)
-                    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                    spans = pa.array([[{"start": a, "end": b} for a, b in found[i][0]] for i in d], span)
-                    flat = np.concatenate(ids)
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(flat[d]), "spans": spans, "item_ids": pa.array([sorted(found[i][1]) for i in d], pa.list_(pa.int64())), "n_words": pa.array([found[i][2] for i in d], pa.int32())})
-
-            for b in batches:
-                texts, keys = b.column(1).to_pylist(), b.column(0).to_numpy(zero_copy_only=False)
-                for i, j in W.chunks(texts):
-                    shard.add(texts[i:j])
-                    ids.append(keys[i:j])
-                    if shard.size >= SHARD_SYMBOLS:
-                        yield from flush()
-                        shard, ids = Shard(shared.value), []
-            yield from flush()
-
-        part = docs.mapInArrow(run, "doc_id long, spans array<struct<start:int,end:int>>, item_ids array<long>, n_words int")
-        out = part if out is None else out.unionByName(part)
-    return out
+    shared = _shared(df, benchmark, item_col, item_text, n, least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, ids = Shard(), []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if found := shard.search(_held(shared)):
+                d = sorted(found)
+                span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+                spans = pa.array([[{"start": a, "end": b} for a, b in found[i][0]] for i in d], span)
+                flat = np.concatenate(ids)
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(flat[d]), "spans": spans, "item_ids": pa.array([sorted(found[i][1]) for i in d], pa.list_(pa.int64())), "n_words": pa.array([found[i][2] for i in d], pa.int32())})
+
+        for b in batches:
+            texts, keys = b.column(1).to_pylist(), b.column(0).to_numpy(zero_copy_only=False)
+            for i, j in W.chunks(texts):
+                shard.add(texts[i:j])
+                ids.append(keys[i:j])
+                if shard.size >= SHARD_SYMBOLS:
+                    yield from flush()
+                    shard, ids = Shard(), []
+        yield from flush()
+
+    return select_text(df, id_col, text_col).mapInArrow(run, "doc_id long, spans array<struct<start:int,end:int>>, item_ids array<long>, n_words int")
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = N, least: int = LEAST) -> DataFrame:
     """df with the test phrases cut from its texts, in one pass and without a shuffle; a text of which no word is left is dropped."""
     ship(df.sparkSession)
-    for phrases in _slices(benchmark, item_col, item_text, n, least):
-        shared, column, schema = df.sparkSession.sparkContext.broadcast(phrases), df.columns.index(text_col), df.schema
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, column=column) -> Iterator[pa.RecordBatch]:
-            held: list[tuple[pa.RecordBatch, list]] = []
-            shard = Shard(shared.value)
-
-            def flush() -> Iterator[pa.RecordBatch]:
-                found, base = shard.search(), 0
-                for b, texts in held:
-                    keep = np.ones(len(texts), bool)
-                    changed = False
-                    for i in range(len(texts)):
-                        if base + i in found:
-                            t, spans = texts[i], found[base + i][0]
-                            cuts = [0, *[x for s in spans for x in s], len(t)]
-                            texts[i] = "".join(t[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
-                            keep[i], changed = any(map(str.isalnum, texts[i])), True
-                    base += len(texts)
-                    if changed:
-                        b = b.set_column(column, b.schema.field(column), pa.array(texts, b.schema.field(column).type)).filter(pa.array(keep))
-                    yield b
-
-            for batch in batches:
-                texts = batch.column(column).to_pylist()
-                for i, j in W.chunks(texts):
-                    shard.add(texts[i:j])
-                    held.append((batch.slice(i, j - i), texts[i:j]))
-                    if shard.size >= SHARD_SYMBOLS:
-                        yield from flush()
-                        held, shard = [], Shard(shared.value)
-            yield from flush()
-
-        df = df.mapInArrow(run, schema)
-    return df
+    shared, column, schema = _shared(df, benchmark, item_col, item_text, n, least), df.columns.index(text_col), df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[pa.RecordBatch, list]] = []
+        shard = Shard()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            found, base = shard.search(_held(shared)), 0
+            for b, texts in held:
+                keep = np.ones(len(texts), bool)
+                changed = False
+                for i in range(len(texts)):
+                    if base + i in found:
+                        t, spans = texts[i], found[base + i][0]
+                        cuts = [0, *[x for s in spans for x in s], len(t)]
+                        texts[i] = "".join(t[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
+                        keep[i], changed = any(map(str.isalnum, texts[i])), True
+                base += len(texts)
+                if changed:
+                    b = b.set_column(column, b.schema.field(column), pa.array(texts, b.schema.field(column).type)).filter(pa.array(keep))
+                yield b
+
+        for batch in batches:
+            texts = batch.column(column).to_pylist()
+            for i, j in W.chunks(texts):
+                shard.add(texts[i:j])
+                held.append((batch.slice(i, j - i), texts[i:j]))
+                if shard.size >= SHARD_SYMBOLS:
+                    yield from flush()
+                    held, shard = [], Shard()
+        yield from flush()
+
+    return df.mapInArrow(run, schema)

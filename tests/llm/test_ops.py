@@ -245,6 +245,30 @@ def test_decontamination_against_brute_force(spark, monkeypatch):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 and decontaminate.decontaminate(df, bench.limit(0)).count() == df.count()
 
 
+def test_slices_of_the_benchmark_change_no_result(spark, monkeypatch):
+    source = prose(200, 7).split()
+    items = [" ".join(source[i : i + 30]) for i in range(0, 90, 10)] + [prose(20, 510), prose(15, 511), " ".join(prose(20, 510).split()[4:])]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    joined = prose(13, 512).split()
+    items_and_joined = [*items, " ".join(joined)]
+    bench = bench.union(spark.createDataFrame([(99, items_and_joined[-1])], bench.schema))
+    rows = [(1, prose(9, 1) + " " + " ".join(source[:110]) + " " + prose(9, 2)), (1, prose(30, 3) + " " + items[9] + " " + items[10]), (1, prose(30, 3)), (2, " ".join(source[5:25]) + " end"), (2, " ".join(source[5:25]) + " end"), (3, " ".join(joined[:6]) + " " + items[9] + " " + " ".join(joined[6:])), (4, items[0])]
+    df = docs(spark, rows, extra=True)
+
+    def both():
+        found = sorted((r.doc_id, [tuple(s) for s in r.spans], r.item_ids, r.n_words) for r in decontaminate.contaminated(df, bench).collect())
+        return found, sorted((r.doc_id, r.text) for r in decontaminate.decontaminate(df, bench).collect())
+
+    want = both()
+    spans = [brute_contaminated([(0, t)], items_and_joined).get(0, []) for _, t in rows]
+    cut = lambda t, s: "".join(t[a:b] for a, b in zip([0, *[y for _, y in s]], [*[x for x, _ in s], len(t)], strict=True))
+    assert [(d, s) for d, s, *_ in want[0]] == sorted((d, s) for (d, _), s in zip(rows, spans, strict=True) if s)
+    assert want[1] == sorted((d, x) for (d, t), s in zip(rows, spans, strict=True) if any(map(str.isalnum, x := cut(t, s))))
+    assert all(n == sum(len(W.words([t[a:b]]).hash) for a, b in s) for (d, s, _, n) in want[0] for (e, t), z in zip(rows, spans, strict=True) if (d, s) == (e, z))
+    monkeypatch.setattr(decontaminate, "MAX_PHRASES", 60)
+    assert both() == want
+
+
 # Licences
 
 
