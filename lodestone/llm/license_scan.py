@@ -8,6 +8,10 @@ matched words, coverage (matched share of the template) and span. Findings of at
 those that overlap by half or more of the shorter one, the one with the most matched words does, then the one of the
 highest coverage, then the first template.
 
+A template of up to ``SHORT`` words has too few fingerprints for an altered copy to keep one. For these every run of
+document words that holds enough of the template's words, as near to each other as an alignment allows, is aligned
+without a band: no copy that reaches ``COVERAGE`` is missed. What is left of the run on both sides is searched again.
+
 Defined results: null id: row ignored. Null, empty and wordless texts have no finding. Texts are scanned
 whole; there is no cap on candidates. Each row is scanned by itself: repeated rows give repeated findings.
 Several occurrences in a document are all reported. An empty table gives an empty result.
@@ -15,6 +19,7 @@ Several occurrences in a document are all reported. An empty table gives an empt
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 
 import numpy as np
@@ -29,6 +34,17 @@ from .license_templates import TEMPLATES
 K, WINDOW, COVERAGE, MOST_WORDS = 3, 2, 0.75, 1_000_000
 #: A candidate has at least this share of its template's fingerprints, and one at least.
 SHARE = 0.2
+#: Templates of up to this many words are also found by single words. Their runs are aligned so many words at a time.
+SHORT, RUN = 20, 512
+
+
+#: Words of a document that an alignment spans, in template lengths: each unmatched one costs 1, each match brings 2.
+SPAN = 3
+
+
+def least(m: int, coverage: float) -> int:
+    """Matched words that a template of m words needs."""
+    return max(1, math.ceil(coverage * m - 1e-9))
 
 
 def band(m: int) -> int:
@@ -54,6 +70,50 @@ class Index:
         self.ptr = np.append(first, len(fp))
         self.template, self.place = of[by], (at - w.ptr[of])[by]
         self.count = np.bincount(of, minlength=len(templates))
+        self.short = [t for t, x in enumerate(self.words) if len(x) <= SHORT]
+        self.vocabulary = np.unique(np.concatenate([self.words[t] for t in self.short])) if self.short else np.zeros(0, np.uint64)
+        #: Of each short template: how often it has each word of the vocabulary.
+        self.times = [np.bincount(np.searchsorted(self.vocabulary, self.words[t]), minlength=len(self.vocabulary)) for t in self.short]
+
+    def runs(self, words: np.ndarray, doc: np.ndarray, coverage: float) -> dict[int, list[tuple[int, int, int]]]:
+        """By document: (short template, first word, end word) where at least its share of words is near; words of all documents, numbered."""
+        out: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        if not len(self.vocabulary) or not len(words):
+            return out
+        row = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        at = np.flatnonzero(self.vocabulary[row] == words)
+        row, doc_at = row[at], doc[at]
+        for t, times in zip(self.short, self.times, strict=True):
+            mine = times[row] > 0
+            p, d = at[mine], doc_at[mine]
+            m = len(self.words[t])
+            need = least(m, coverage)
+            if len(p) < need:
+                continue
+            last = np.minimum(np.searchsorted(p, p + SPAN * m), np.searchsorted(d, d, side="right"))
+            i = np.flatnonzero(last - np.arange(len(p)) >= need)
+            if not len(i):
+                continue
+            # A word counts as often as the template has it: if that many of the same before it lie outside.
+            v = row[mine]
+            by = np.argsort(v, kind="stable")
+            back = np.arange(len(p)) - times[v[by]]
+            same = (back >= 0) & (v[by][back] == v[by])
+            older = np.empty(len(p), np.int64)
+            older[by] = np.where(same, p[by][back], -1)
+            count = np.zeros(len(i), np.int64)
+            for k in range(int((last - np.arange(len(p))).max())):
+                h = i + k
+                count += (h < last[i]) & (older[np.minimum(h, len(p) - 1)] < p[i])
+            i = i[count >= need]
+            if not len(i):
+                continue
+            begin, end, of = p[i], p[last[i] - 1] + 1, d[i]
+            new = np.concatenate(([True], (begin[1:] > end[:-1]) | (of[1:] != of[:-1])))
+            k = np.flatnonzero(new)
+            for a, b, i in zip(begin[k].tolist(), end[np.append(k[1:], len(end)) - 1].tolist(), of[k].tolist(), strict=True):
+                out[i].append((t, a, b))
+        return out
 
 
 def align(a: np.ndarray, b: np.ndarray, diagonal: int, half: int) -> tuple[int, int, int]:
@@ -91,13 +151,33 @@ def align(a: np.ndarray, b: np.ndarray, diagonal: int, half: int) -> tuple[int,
     return matched, first, end
 
 
-def scan_words(words: np.ndarray, at: np.ndarray, post: np.ndarray, index: Index, coverage: float) -> list[tuple[int, int, int, int]]:
+def align_run(words: np.ndarray, lo: int, hi: int, t: int, index: Index, coverage: float) -> list[tuple[int, int, int, int]]:
+    """Findings of a short template in words[lo:hi]: the best alignment, then those on both sides of it."""
+    a = index.words[t]
+    m, found = len(a), []
+    need, step = least(m, coverage), max(RUN, 2 * SPAN * m)
+    # Pieces overlap by more than an alignment spans.
+    todo = [(x, min(hi, x + step)) for x in range(lo, max(lo + 1, hi - SPAN * m), step - SPAN * m)]
+    while todo:
+        lo, hi = todo.pop()
+        b = words[lo:hi]
+        if np.isin(b, a).sum() < need:
+            continue
+        matched, x, y = align(a, b, 0, len(b) + m)
+        if matched >= need:
+            found.append((t, lo + x, lo + y, matched))
+        if matched:
+            todo += [(lo, lo + x), (lo + y, hi)]
+    return list(dict.fromkeys(found))
+
+
+def scan_words(words: np.ndarray, at: np.ndarray, post: np.ndarray, index: Index, coverage: float, runs: list[tuple[int, int, int]] = ()) -> list[tuple[int, int, int, int]]:
     """Findings (template, first word, end word, matched) of one document, given its fingerprints' places and index rows."""
     hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for p, r in zip(at.tolist(), post.tolist(), strict=True):
         for x in range(index.ptr[r], index.ptr[r + 1]):
             hits[int(index.template[x])].append((p - int(index.place[x]), int(index.place[x])))
-    found = []
+    found = [x for t, lo, hi in runs for x in align_run(words, lo, hi, t, index, coverage)]
     for t, all_hits in hits.items():
         m = len(index.words[t])
         half = band(m)
@@ -137,10 +217,12 @@ def license_findings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         hit = index.fp[row] == fp
         at, row = at[hit], row[hit]
         doc = np.searchsorted(w.ptr, at, side="right") - 1
+        runs = index.runs(w.hash, w.doc, coverage)
         out = []
-        for i in np.unique(doc).tolist():
+        for i in np.union1d(doc, np.array([*runs], np.int64)).tolist():
             mine, a, b = doc == i, w.ptr[i], w.ptr[i + 1]
-            for t, lo, hi, n in scan_words(w.hash[a:b], at[mine] - a, row[mine], index, coverage):
+            near = [(t, lo - a, hi - a) for t, lo, hi in runs.get(i, ())]
+            for t, lo, hi, n in scan_words(w.hash[a:b], at[mine] - a, row[mine], index, coverage, near):
                 out.append((int(ids[i]), *index.names[t], int(w.start[a + lo]), int(w.end[a + hi - 1]), n, round(n / len(index.words[t]), 6)))
         if not out:
             return None

@@ -289,6 +289,31 @@ def test_licences(spark):
     assert license_scan.license_findings(docs(spark, [])).count() == 0
 
 
+def test_edited_licence_notices_against_full_alignment(spark):
+    index = license_scan.Index()
+    r, rows, want = np.random.default_rng(5), [], {}
+    for t, (_, name, text) in enumerate(license_scan.TEMPLATES):
+        m = len(index.words[t])
+        if m > 20:
+            continue
+        for k in range(9):
+            w = W.words([text])
+            words = [text[a:b] for a, b in zip(w.start, w.end)]
+            for x in r.choice(m, int(m * 0.25), replace=False):
+                words[x] = f"zz{r.integers(1000)}" if k % 3 else words[x] + " zz"
+            rows.append((len(rows), prose(30, k) + " " + " ".join(words) + " " + prose(30, k + 50)))
+            h = W.words([rows[-1][1]]).hash
+            matched = [(license_scan.align(a, h, 0, len(h))[0], len(a)) for a in index.words if len(a) <= 20]
+            if enough := [n for n, of in matched if n >= license_scan.COVERAGE * of]:
+                want[rows[-1][0]] = max(enough)
+    got = {}
+    for x in license_scan.license_findings(docs(spark, rows)).collect():
+        got[x.doc_id] = max(x.n_matched, got.get(x.doc_id, 0))
+    assert got == want and len(want) > 0.9 * len(rows)
+    repeated = " ".join("Released under the mit licence" for _ in range(300))
+    assert license_scan.license_findings(docs(spark, [(1, repeated)])).count() == 300
+
+
 def test_banded_alignment_against_the_full_one():
     r = np.random.default_rng(2)
     for _ in range(30):
