@@ -10,6 +10,9 @@ import argparse
 import dataclasses
 import sys
 
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
+
 from .config import ClusterOptions, LearnOptions
 from .operators import hygiene
 from .plans import workflows
@@ -64,18 +67,26 @@ def main(args: list[str]) -> int:
         return 2
     spark = local_session()
     try:
-        df = files.read_table(spark, known.input)
+        try:
+            df = files.read_table(spark, known.input)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e):
+                raise hygiene.InputNotFound(f"there is no {known.input}") from e
+            raise
         if known.key:
             name = hygiene.resolve_column(df, known.key)
             if hygiene.duplicate_keys(df, [name]).limit(1).count():
                 raise hygiene.DuplicateKey(f"{name} is not unique")
             given.setdefault("name", name) if known.command == "cluster" else None
-        df = files.with_row_id(df, [name] if known.key else None).cache()
+        df = files.with_row_id(df, [name] if known.key else None)
         options = options_of(kind, given)
         if known.command == "cluster":
             s = workflows.cluster(df, "row_id", options)
             files.write_csv(s.table.drop("row_id"), f"{known.output}/batch_0")
             files.write_csv(s.importance, f"{known.output}/coverage_descriptor_importance")
+            s.payload.write.mode("overwrite").json(f"{known.output}/map")
+            if s.summary is not None:
+                files.write_csv(s.summary.withColumn("sizes", F.array_join("sizes", " ")), f"{known.output}/clustering_models")
             s.coverage.show()
         else:
             columns = known.features.split(",") if known.features else [c for c, t in df.dtypes if t in {"double", "float", "int", "bigint"} and c not in {"row_id", "batch", options.y, known.key, *options.ignore}]
@@ -85,7 +96,7 @@ def main(args: list[str]) -> int:
         return 0
     except hygiene.TableError as e:
         print(f"{type(e).__name__}: {e}", file=sys.stderr)
-        return 1
+        return e.code
 
 
 if __name__ == "__main__":

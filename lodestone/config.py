@@ -38,6 +38,8 @@ class ClusterOptions(Options):
     categorical: str = option("onehot", among=("onehot", "numbers"))
     auto_fill: bool = option(True)
     impute: str = option("knn", among=("knn", "mean"))
+    #: With more rows that have gaps than this, means fill them: nearest rows cost (rows with gaps) x (rows).
+    impute_rows: int = option(200_000, 0)
     evaluate: bool = option(False)
     missing: float = option(0.30, 0.0, 1.0)
     near_constant: float = option(0.98, 0.5, 1.0)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import quartile_left_closed, quartile_right_closed
+from ..sources.files import with_row_id
 
 
 @dataclass(frozen=True)
@@ -69,12 +70,12 @@ def acquisition(df: DataFrame, kind: str, alpha: float = 1.0, pred: str = "y_pre
 
 
 def rank_candidates(df: DataFrame, kind: str, alpha: float = 1.0, key: str = "row_id", n: int | None = None, pred: str = "y_pred", sd: str = "y_pred_sd") -> DataFrame:
-    """df with metric and rank; with n only the best n, by a top-k that sorts no more than it must."""
+    """df with metric and rank; with n only the best n, by a top-k that sorts no more than it must; else all rows, ranked by ranges."""
     metric, order = acquisition(df, kind, alpha, pred, sd)
     ranked = df.withColumn("metric", metric)
-    if n is not None:
-        ranked = ranked.orderBy(*order, key).limit(n)
-    return ranked.withColumn("rank", F.row_number().over(Window.orderBy(*order, key)).cast("long"))
+    if n is None:
+        return with_row_id(ranked, [*order, F.col(key)], "rank").withColumn("rank", F.col("rank") + 1)
+    return ranked.orderBy(*order, key).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order, key)).cast("long"))
 
 
 def preview(ranked: DataFrame, key: str = "row_id", digits: int = 4) -> DataFrame:
@@ -160,31 +161,28 @@ def quartile_of(df: DataFrame, value: str, low: float, high: float) -> DataFrame
     return df.withColumn("quartile", quartile_left_closed(F.col(value), F.lit(low), F.lit(high)))
 
 
-def diversity_order(df: DataFrame, size: int, key: str = "row_id", pred: str = "y_pred", sd: str = "y_pred_sd") -> list:
-    """Greedy order of all rows by sd less a penalty for quarters already served.
+def diversity_order(df: DataFrame, n: int, key: str = "row_id", pred: str = "y_pred", sd: str = "y_pred_sd") -> list:
+    """The first n rows, as (key, quartile), of the greedy order by sd less a penalty for quarters already served.
 
-    Within a quarter the order never changes, so only the four quarters' sorted rows are merged; they come to the driver in blocks.
+    Within a quarter the order never changes, so each gives its first n rows at most, and the driver merges those four lists.
     """
     q = quartile_labels(df, pred)
     top = q.agg(F.max(sd)).first()[0]
     if top is None:
         return []
-    penalty, target = 0.15 * top, max(size / 4, 1)
-    streams = {}
-    for name in ("q1", "q2", "q3", "q4"):
-        it = q.where(F.col("quartile") == name).orderBy(F.desc(sd), F.desc(pred), key).select(key, sd, pred).toLocalIterator()
-        if (row := next(it, None)) is not None:
-            streams[name] = (row, it)
+    penalty, target = 0.15 * top, max(n / 4, 1)
+    w = Window.partitionBy("quartile").orderBy(F.desc_nulls_last(sd), F.desc_nulls_last(pred), key)
+    rows = q.where(F.col(sd).isNotNull()).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).orderBy("quartile", "__r").select("quartile", key, sd, pred).collect()
+    streams: dict[str, list] = {}
+    for r in rows:
+        streams.setdefault(r[0], []).append(tuple(r)[1:])
     out, count = [], dict.fromkeys(streams, 0)
-    while streams:
-        best = max(streams, key=lambda s: (streams[s][0][1] - penalty * count[s] / target, streams[s][0][1], streams[s][0][2]))
-        row, it = streams[best]
-        out.append((row[0], best))
+    while streams and len(out) < n:
+        best = max(streams, key=lambda s: (streams[s][count[s]][1] - penalty * count[s] / target, streams[s][count[s]][1], streams[s][count[s]][2]))
+        out.append((streams[best][count[best]][0], best))
         count[best] += 1
-        if (row := next(it, None)) is None:
+        if count[best] == len(streams[best]):
             del streams[best]
-        else:
-            streams[best] = (row, it)
     return out
 
 

@@ -6,13 +6,18 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import distance
+from . import fits
 from .stats import adjusted_rand, size_summary
 
+#: Errors of a fit that make a rejected candidate; others, such as a lost cluster, end the run.
+FIT_ERRORS = (*fits.FIT_ERRORS, IllegalArgumentException)
+
 
 @dataclass
 class Candidate:
@@ -32,9 +37,9 @@ def tier(n: int) -> str:
 
 
 SETTINGS = {
-    "standard": {"n_init": 20, "max_iter": 300, "silhouette": None, "repeats": 5, "cap": None, "refine": 0},
-    "large": {"n_init": 8, "max_iter": 220, "silhouette": 1500, "repeats": 3, "cap": 60, "refine": 3},
-    "very_large": {"n_init": 5, "max_iter": 160, "silhouette": 2000, "repeats": 3, "cap": 80, "refine": 2},
+    "standard": {"n_init": 20, "max_iter": 300, "silhouette": None, "repeats": 5, "cap": None, "refine": 0, "mixture": {"n_init": 5, "max_iter": 300}, "mixture_search": {"grid": 9, "radius": 3}},
+    "large": {"n_init": 8, "max_iter": 220, "silhouette": 1500, "repeats": 3, "cap": 60, "refine": 3, "mixture": {"n_init": 2, "max_iter": 150}, "mixture_search": {"grid": 5, "radius": 2}},
+    "very_large": {"n_init": 5, "max_iter": 160, "silhouette": 2000, "repeats": 3, "cap": 80, "refine": 2, "mixture": {"n_init": 2, "max_iter": 150}, "mixture_search": {"grid": 5, "radius": 1}},
     "ultra_large": {"n_init": 3, "max_iter": 120, "silhouette": 3000, "repeats": 3, "cap": 100, "refine": 1},
 }
 
@@ -109,12 +114,6 @@ def filter_reasons(m: dict) -> list[str]:
     return [name for name, bad in rules if bad]
 
 
-def reasons_column() -> Column:
-    """The same rules as an array column over the metrics' columns."""
-    rules = [("too_few_clusters", F.col("n_clusters") < 2), ("silhouette", F.col("silhouette") < 0), ("noise", F.col("noise_fraction") > 0.20), ("dominant_cluster", F.col("max_fraction") > 0.85), ("imbalance", F.col("imbalance") > 0.90)]
-    return F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules]))
-
-
 def normalize(values: list[float | None], lower_is_better: bool = False) -> list[float]:
     """To 0..1: what isn't finite takes the worst finite value; none finite: all 0; all equal: all 1."""
     x = [(-v if lower_is_better else v) if v is not None and math.isfinite(v) else None for v in values]
@@ -125,25 +124,19 @@ def normalize(values: list[float | None], lower_is_better: bool = False) -> list
     return [1.0] * len(x) if high - low <= 1e-12 else [((low if v is None else v) - low) / (high - low) for v in x]
 
 
-def normalized(c, lower_is_better: bool = False):
-    """The same as a window expression over all rows."""
-    v = F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(-c if lower_is_better else c)
-    w = Window.partitionBy()
-    low, high = F.min(v).over(w), F.max(v).over(w)
-    return F.when(high.isNull(), 0.0).when(high - low <= 1e-12, 1.0).otherwise(F.try_divide(F.coalesce(v, low) - low, high - low))
-
-
 def internal_scores(candidates: list[Candidate], density: bool = False) -> None:
-    """Scores within a family, over the candidates that pass."""
+    """Scores within a family, over the candidates that pass; a stability that wasn't measured counts 0."""
     ok = [c for c in candidates if not c.reasons]
     sil, ch, db = (normalize([c.metrics[k] for c in ok], k == "davies_bouldin") for k in ("silhouette", "calinski_harabasz", "davies_bouldin"))
-    dens = normalize([c.metrics.get("density", -1.0) for c in ok])
+    stab, dens = normalize([c.metrics.get("stability", 0.0) for c in ok]), normalize([c.metrics.get("density", -1.0) for c in ok])
+    for c in candidates:
+        c.internal = None
     for i, c in enumerate(ok):
-        stab, imb, noise = c.metrics.get("stability", 0.0), c.metrics["imbalance"], c.metrics["noise_fraction"]
+        imb, noise = c.metrics["imbalance"], c.metrics["noise_fraction"]
         if density:
-            c.internal = 0.35 * sil[i] + 0.20 * dens[i] + 0.25 * stab + 0.10 * db[i] + 0.10 * ch[i] - 0.10 * noise - 0.05 * imb
+            c.internal = 0.35 * sil[i] + 0.20 * dens[i] + 0.25 * stab[i] + 0.10 * db[i] + 0.10 * ch[i] - 0.10 * noise - 0.05 * imb
         else:
-            c.internal = 0.35 * sil[i] + 0.25 * ch[i] + 0.20 * db[i] + 0.20 * stab - 0.05 * imb
+            c.internal = 0.35 * sil[i] + 0.25 * ch[i] + 0.20 * db[i] + 0.20 * stab[i] - 0.05 * imb
 
 
 def simplest(candidates: list[Candidate], score: str = "internal", slack: float = 0.02) -> Candidate | None:
@@ -166,8 +159,9 @@ def quality_label(m: dict | None, final: float | None = None) -> str:
     """GOOD to UNRELIABLE by the number of warnings."""
     if m is None or final is None:
         return "UNAVAILABLE"
-    warnings = sum((m["silhouette"] < 0.10, m["stability"] < 0.40, m["noise_fraction"] > 0.30, m["imbalance"] > 0.40, final < 0.35))
-    if not warnings and m["silhouette"] >= 0.25 and m["stability"] >= 0.80 and m["noise_fraction"] <= 0.10 and m["imbalance"] <= 0.30 and final >= 0.60:
+    stable = m.get("stability", 0.0)
+    warnings = sum((m["silhouette"] < 0.10, stable < 0.40, m["noise_fraction"] > 0.30, m["imbalance"] > 0.40, final < 0.35))
+    if not warnings and m["silhouette"] >= 0.25 and stable >= 0.80 and m["noise_fraction"] <= 0.10 and m["imbalance"] <= 0.30 and final >= 0.60:
         return "GOOD"
     return "ACCEPTABLE" if warnings <= 1 else "POOR" if warnings == 2 else "UNRELIABLE"
 
@@ -179,7 +173,59 @@ def search_objective(m: dict, rejected: bool) -> float:
     return 0.45 * (m["silhouette"] + 1) / 2 + 0.25 * m.get("stability", 0.0) + 0.25 / (1 + m["davies_bouldin"]) - 0.05 * m["imbalance"]
 
 
-# K-means
+def summary(spark: SparkSession, candidates: list[Candidate]) -> DataFrame:
+    """All candidates, one a row, with what is known of each; a failed one has its reason only."""
+    names = ("silhouette", "calinski_harabasz", "davies_bouldin", "stability", "noise_fraction", "imbalance", "density", "bic")
+    number = lambda v: None if v is None else float(v)
+    rows = [
+        (c.family, ", ".join(f"{k}={v}" for k, v in sorted(c.params.items())), not c.reasons, "; ".join(c.reasons), c.metrics.get("n_clusters"), c.metrics.get("sizes"), *[number(c.metrics.get(k)) for k in names], number(c.internal), number(c.final))
+        for c in candidates
+    ]
+    schema = "family string, params string, passed boolean, reasons string, n_clusters int, sizes array<long>, " + ", ".join(f"{k} double" for k in (*names, "internal", "final"))
+    return spark.createDataFrame(rows, schema)
+
+
+# Families
+
+
+def _accept(c: Candidate, m: dict) -> Candidate:
+    """A candidate with its metrics, or with why it failed."""
+    c.metrics = m
+    c.reasons = [f"failed: {m['error']}"] if "error" in m else filter_reasons(m)
+    return c
+
+
+def evaluate_local(local: fits.Local, candidates: list[Candidate], sample: int | None, repeats: int) -> list[Candidate]:
+    """Candidates of tables that a task holds, fitted and measured all at once; labels come along, as a list in the order of row ids."""
+    found = local.run([{"family": c.family, "params": c.params, "sample": sample, "repeats": repeats} for c in candidates])
+    for c, m in zip(candidates, found, strict=True):
+        c.labels = m.pop("labels")
+        _accept(c, m)
+    return candidates
+
+
+def evaluate_large(features: DataFrame, c: Candidate, sample: int | None, repeats: int, seed: int = 0) -> Candidate:
+    """A k-means candidate of a table of any size, by distributed passes."""
+    fit = lambda x, s: fit_kmeans(x, c.params["k"], c.params["n_init"], c.params["max_iter"], s)
+    try:
+        c.labels = fit(features, seed)
+        m = evaluate(c.labels, sample=sample)
+        if repeats:
+            m["stability"] = stability(c.labels, fit, repeats, seed=seed)
+    except FIT_ERRORS as e:
+        m = {"error": str(e)}
+    return _accept(c, m)
+
+
+def refine(candidates: list[Candidate], most: int, again) -> None:
+    """Stability of the best few by their scores so far; ``again(list)`` measures it. Then all are scored anew."""
+    ok = sorted((c for c in candidates if not c.reasons), key=lambda c: -c.internal)[:most]
+    if ok:
+        again(ok)
+        internal_scores(candidates, candidates[0].family == "density")
+
+
+# K-means by distributed passes
 
 
 def fit_kmeans(df: DataFrame, k: int, n_init: int = 3, max_iter: int = 100, seed: int = 0) -> DataFrame:
@@ -187,69 +233,33 @@ def fit_kmeans(df: DataFrame, k: int, n_init: int = 3, max_iter: int = 100, seed
     v = df.withColumn("__v", array_to_vector("features")).cache()
     best = None
     for i in range(n_init):
-        model = KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol="label", maxIter=max_iter, tol=1e-4).fit(v)
+        model = KMeans(k=k, seed=seed * 1000 + i, featuresCol="__v", predictionCol="label", maxIter=max_iter, tol=1e-4).fit(v)
         if best is None or model.summary.trainingCost < best.summary.trainingCost:
             best = model
-    out = best.transform(v).drop("__v")
+    out = best.transform(df.withColumn("__v", array_to_vector("features"))).drop("__v")
     v.unpersist()
     return out
 
 
 def stability(df: DataFrame, fit, repeats: int = 3, fraction: float = 0.8, seed: int = 0) -> float:
-    """Mean adjusted Rand index of refits on part of the rows against the labels; 0 for fewer than two clusters or on failure."""
-    n = df.count()
-    size = max(4, math.ceil(fraction * n))
+    """Mean adjusted Rand index of refits on part of the rows, chosen by a hash of their id, against the labels; fewer than two
+    clusters, or a failed refit, count 0."""
     total = 0.0
     for r in range(repeats):
+        part = df.where(F.pmod(F.xxhash64("row_id", F.lit(seed), F.lit(r)), F.lit(10_000)) < int(10_000 * fraction))
         try:
-            part = df.orderBy(F.md5(F.concat(F.lit(f"{seed}:{r}:"), F.col("row_id").cast("string"))), "row_id").limit(size)
             again = fit(part.drop("label"), seed + r + 1).select("row_id", F.col("label").alias("other"))
-            if again.select("other").where("other <> -1").distinct().limit(2).count() < 2:
-                continue
-            total += adjusted_rand(part.join(again, "row_id"), "label", "other").first()[0]
-        except Exception as e:  # a failed refit counts as unstable
-            if "Py4JNetworkError" in type(e).__name__:
-                raise
+            if again.select("other").where("other <> -1").distinct().limit(2).count() >= 2:
+                total += adjusted_rand(part.join(again, "row_id"), "label", "other").first()[0]
+        except FIT_ERRORS:
+            continue
     return total / repeats
 
 
-def sweep(df: DataFrame, ks: list[int], family: str, fit, n_init: int, sample: int | None, repeats: int) -> list[Candidate]:
-    """Candidates of one family; a failure is a rejected candidate."""
-    out = []
-    for k in ks:
-        c = Candidate(family, {"k": k})
-        try:
-            c.labels = fit(df, k, 0).cache()
-            c.metrics = evaluate(c.labels, sample=sample)
-            c.reasons = filter_reasons(c.metrics)
-            if not c.reasons and repeats:
-                c.metrics["stability"] = stability(c.labels, lambda d, s, k=k: fit(d, k, s), repeats)
-        except ValueError as e:
-            c.reasons = [f"failed: {e}"]
-        out.append(c)
-    internal_scores(out)
-    return out
-
-
-# Gaussian mixtures
-
+# Gaussian mixtures by distributed passes
 
-def log_density(x: np.ndarray, w: np.ndarray, mean: np.ndarray, cov: np.ndarray, kind: str) -> np.ndarray:
-    """log(weight * normal density) of rows and components; cov: (k, d, d), (d, d) or (k, d)."""
-    n, d = x.shape
-    out = np.empty((n, len(w)))
-    for j in range(len(w)):
-        if kind == "diag":
-            out[:, j] = -0.5 * (((x - mean[j]) ** 2 / cov[j]).sum(1) + np.log(cov[j]).sum() + d * math.log(2 * math.pi))
-        else:
-            c = np.linalg.cholesky(cov if kind == "tied" else cov[j])
-            y = np.linalg.solve(c, (x - mean[j]).T)
-            out[:, j] = -0.5 * ((y * y).sum(0) + d * math.log(2 * math.pi)) - np.log(np.diag(c)).sum()
-        out[:, j] += math.log(max(w[j], 1e-300))
-    return out
 
-
-def gaussian_mixture(df: DataFrame, k: int, kind: str = "full", max_iter: int = 60, tol: float = 1e-3, reg: float = 1e-6, seed: int = 0) -> tuple[DataFrame, float]:
+def gaussian_mixture(df: DataFrame, k: int, kind: str = "full", max_iter: int = 300, tol: float = 1e-3, reg: float = 1e-6, seed: int = 0) -> tuple[DataFrame, float]:
     """(labels, BIC) by expectation maximisation: each iteration is one pass in which partitions sum their rows' shares."""
     import pyarrow as pa
 
@@ -258,8 +268,7 @@ def gaussian_mixture(df: DataFrame, k: int, kind: str = "full", max_iter: int =
     spark = df.sparkSession
     ship(spark)
     x = df.select(F.col("row_id").cast("long"), "features").cache()
-    start = fit_kmeans(x, k, 1, 20, seed)
-    g = centroids(start).orderBy("label").collect()
+    g = centroids(fit_kmeans(x, k, 1, 20, seed)).orderBy("label").collect()
     n = x.count()
     mean, w = np.array([r.centre for r in g]), np.array([r.n / n for r in g])
     k, d = mean.shape
@@ -270,45 +279,35 @@ def gaussian_mixture(df: DataFrame, k: int, kind: str = "full", max_iter: int =
         state = spark.sparkContext.broadcast((w, mean, cov))
 
         def part(batches, state=state):
-            w, mean, cov = state.value
-            ll, s0, s1, s2 = 0.0, np.zeros(k), np.zeros((k, d)), np.zeros((k, d)) if kind == "diag" else np.zeros((k, d, d))
+            total, sums = 0.0, None
             for b in batches:
                 rows = np.array(b.column(0).to_pylist(), np.float64)
-                if not len(rows):
-                    continue
-                p = log_density(rows, w, mean, cov, kind)
-                top = np.logaddexp.reduce(p, axis=1)
-                r = np.exp(p - top[:, None])
-                ll += top.sum()
-                s0 += r.sum(0)
-                s1 += r.T @ rows
-                s2 += r.T @ (rows * rows) if kind == "diag" else np.einsum("nk,ni,nj->kij", r, rows, rows, optimize=True)
-            yield pa.RecordBatch.from_pydict({"ll": [ll], "s": [np.concatenate((s0, s1.ravel(), s2.ravel())).tolist()]})
+                if len(rows):
+                    ll, *s = fits.shares(rows, *state.value, kind)
+                    total += ll
+                    sums = s if sums is None else [a + b for a, b in zip(sums, s, strict=True)]
+            if sums is not None:
+                yield pa.RecordBatch.from_pydict({"ll": [total], "s": [np.concatenate([a.ravel() for a in sums]).tolist()]})
 
         got = x.select("features").mapInArrow(part, "ll double, s array<double>").collect()
+        state.unpersist()
         ll, s = sum(r.ll for r in got), np.sum([r.s for r in got], 0)
-        s0, s1 = np.maximum(s[:k], 1e-12), s[k : k + k * d].reshape(k, d)
-        w, mean = s0 / n, s1 / s0[:, None]
-        if kind == "diag":
-            cov = s[k + k * d :].reshape(k, d) / s0[:, None] - mean**2 + reg
-            cov = np.maximum(cov, reg)
-        else:
-            each = s[k + k * d :].reshape(k, d, d) / s0[:, None, None] - mean[:, :, None] * mean[:, None, :]
-            cov = (each * w[:, None, None]).sum(0) + reg * np.eye(d) if kind == "tied" else each + reg * np.eye(d)
-        if ll / n - last < tol:
+        rest = s[k + k * d :]
+        w, mean, cov = fits.update(n, s[:k], s[k : k + k * d].reshape(k, d), rest.reshape(k, d) if kind == "diag" else rest.reshape(k, d, d), kind, reg)
+        if abs(ll / n - last) < tol:
             break
         last = ll / n
-    params = k * d + k - 1 + (k * d * (d + 1) // 2 if kind == "full" else d * (d + 1) // 2 if kind == "tied" else k * d)
+    x.unpersist()
     state = spark.sparkContext.broadcast((w, mean, cov))
 
     def label(batches):
         for b in batches:
             rows = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
-            y = log_density(rows, *state.value, kind).argmax(1) if len(rows) else np.zeros(0, int)
+            y = fits.log_density(rows, *state.value, kind).argmax(1) if len(rows) else np.zeros(0, int)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(y.astype(np.int32))], ["row_id", "features", "label"])
 
-    out = x.mapInArrow(label, "row_id long, features array<double>, label int")
-    return out, -2 * ll + params * math.log(n)
+    out = df.select(F.col("row_id").cast("long"), "features").mapInArrow(label, "row_id long, features array<double>, label int")
+    return out, -2 * ll + fits.free_parameters(k, d, kind) * math.log(n)
 
 
 def covariance_kinds(n: int, d: int) -> list[str]:
@@ -318,10 +317,21 @@ def covariance_kinds(n: int, d: int) -> list[str]:
     return ["full", "diag", "tied"] if t == "standard" else ["diag", "full"] if t == "large" or (t == "very_large" and d <= 25) else ["diag"]
 
 
-def mixture_shortlist(df: DataFrame, ks: list[int], kinds: list[str], keep: int = 3, seed: int = 0) -> list[tuple[str, int, float]]:
-    """(kind, k, BIC): for each kind of covariance the best few by BIC."""
-    out = []
-    for kind in kinds:
-        found = sorted((gaussian_mixture(df, k, kind, seed=seed)[1], k) for k in ks)
-        out += [(kind, k, bic) for bic, k in found[:keep]]
+def mixture_shortlist(local: fits.Local, top: int, keep: int = 3, seed: int = 0) -> list[dict]:
+    """Parameters of the mixtures worth measuring: for each kind of covariance an integer search over 2..top components by BIC, and its best few."""
+    from . import search
+
+    n = len(local.ids)
+    s, out = SETTINGS[tier(n)], []
+    for kind in covariance_kinds(n, local.width):
+        params = lambda k, kind=kind: {"k": k, "covariance": kind, **s["mixture"]}
+
+        def worth(ks: list[int], params=params) -> list[float]:
+            return [-m.get("bic", math.inf) for m in local.run([{"family": "gmm", "params": params(k), "bic_only": True, "seed": seed} for k in ks])]
+
+        space = top - 1
+        found = search.IntegerSearch(worth, 2, top, search.search_budget(space, **s["mixture_search"], centers=1, fraction=0.08, most=16))
+        found.run()
+        best = sorted((k for k in found.seen if math.isfinite(found.seen[k])), key=lambda k: (-found.seen[k], k))
+        out += [params(k) for k in best[:keep]]
     return out

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import Scratch, ship
+from ..sources.files import with_row_id
 from .stats import explained_components
 
+#: Rows with a gap that all tasks hold at once.
+BLOCK = 1024
+
 #: One-hot columns are made for at most this many levels.
 MAX_LEVELS = 1000
 
@@ -27,10 +33,11 @@ def one_hot(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumns(made).drop(*columns), list(made)
 
 
-def ordinal(df: DataFrame, column: str, key_broadcast: bool = False) -> DataFrame:
-    """Codes from 0 by sorted level; NULL is -1."""
-    codes = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn("__code", (F.dense_rank().over(Window.orderBy(column)) - 1).cast("double"))
-    return df.join(codes, column, "left").withColumn(column, F.coalesce(F.col("__code"), F.lit(-1.0))).drop("__code").select(*df.columns)
+def ordinal(df: DataFrame, column: str) -> DataFrame:
+    """Codes from 0 by sorted level; NULL is -1. Levels are numbered by ranges, so their number doesn't matter."""
+    codes = with_row_id(df.select(F.col(f"`{column}`").alias("__level")).where("__level is not null").distinct(), ["__level"], "__code")
+    joined = df.join(codes, F.col(f"`{column}`") == F.col("__level"), "left")
+    return joined.select(*[F.coalesce(F.col("__code").cast("double"), F.lit(-1.0)).alias(c) if c == column else F.col(f"`{c}`") for c in df.columns])
 
 
 def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -51,20 +58,55 @@ def knn_impute(df: DataFrame, key: str, columns: list[str], k: int = 5) -> DataF
     """Missing values as the mean of the k nearest rows that have the value.
 
     The distance is over the columns that both rows have, scaled up to all columns; ties go to the smaller key. The column's
-    mean stands in where no row is comparable. Pairs are only made of rows with a gap and their donors.
+    mean stands in where no row is comparable. Rows with a gap are taken ``BLOCK`` at a time: all tasks have the block and pass their own rows
+    by it, keeping the k nearest for each gap; so no row is shuffled but those candidates. The work is (rows with a gap) x (rows): ``mean_impute`` is for tables where that is too much.
     """
-    x = df.select(F.col(key).alias("id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
-    gaps = x.where(F.exists("v", lambda e: e.isNull()))
-    d2 = F.aggregate(F.zip_with("v", "dv", lambda a, b: F.coalesce((a - b) * (a - b), F.lit(0.0))), F.lit(0.0), lambda s, e: s + e)
-    both = F.size(F.filter(F.zip_with("v", "dv", lambda a, b: a.isNotNull() & b.isNotNull()), lambda e: e))
-    pairs = gaps.join(x.select(F.col("id").alias("did"), F.col("v").alias("dv")), F.col("id") != F.col("did")).select("id", "v", "did", "dv", F.sqrt(d2 * F.lit(float(len(columns))) / F.nullif(both, F.lit(0))).alias("dist"))
-    cells = pairs.where("dist is not null").select("id", "did", "dist", "v", F.posexplode("dv").alias("pos", "val")).where(F.col("val").isNotNull() & F.get("v", F.col("pos")).isNull())
+    spark, p = df.sparkSession, len(columns)
+    ship(spark)
+    x = df.select(F.col(key).cast("long").alias("id"), F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).alias("v"))
+    gaps = Scratch(spark, "gaps").save(with_row_id(x.where(F.exists("v", lambda e: e.isNull())), ["id"], "place"), "rows")
+    total, near = gaps.count(), None
+    for start in range(0, total, BLOCK):
+        block = gaps.where(F.col("place").between(start, start + BLOCK - 1)).orderBy("place").collect()
+        shared = spark.sparkContext.broadcast((np.array([r.id for r in block]), np.array([r.v for r in block], np.float64)))
+
+        def run(batches, shared=shared):
+            ids, v = shared.value
+            has = ~np.isnan(v)
+            cells = [(i, c) for c in range(p) for i in np.flatnonzero(~has[:, c])]
+            row, col = np.array([i for i, _ in cells]), np.array([c for _, c in cells])
+            dist, who, val = (np.zeros((len(cells), 0), t) for t in (np.float64, np.int64, np.float64))
+            for b in batches:
+                for lo in range(0, b.num_rows, 256):
+                    d_ids, d = b.column(0).slice(lo, 256).to_numpy(zero_copy_only=False), np.array(b.column(1).slice(lo, 256).to_pylist(), np.float64)
+                    square, both = np.zeros((len(v), len(d))), np.zeros((len(v), len(d)))
+                    for c in range(p):
+                        ok = has[:, c : c + 1] & ~np.isnan(d[:, c])
+                        diff = np.where(ok, v[:, c : c + 1] - d[:, c], 0)
+                        square += diff * diff
+                        both += ok
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        far = np.where((both > 0) & (ids[:, None] != d_ids), np.sqrt(square * float(p) / both), np.inf)
+                    far = np.where(np.isnan(d[:, col]).T, np.inf, far[row])
+                    pick = np.lexsort((np.broadcast_to(d_ids, far.shape), far), axis=1)[:, :k]
+                    dist = np.concatenate((dist, np.take_along_axis(far, pick, 1)), 1)
+                    who, val = np.concatenate((who, d_ids[pick]), 1), np.concatenate((val, d[pick, col[:, None]]), 1)
+                    pick = np.lexsort((who, dist), axis=1)[:, :k]
+                    dist, who, val = (np.take_along_axis(a, pick, 1) for a in (dist, who, val))
+            i, j = np.nonzero(np.isfinite(dist))
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids[row[i]] if len(i) else np.zeros(0, np.int64)), "pos": pa.array(col[i].astype(np.int32) if len(i) else np.zeros(0, np.int32)), "dist": pa.array(dist[i, j]), "did": pa.array(who[i, j]), "val": pa.array(val[i, j])})
+
+        found = x.mapInArrow(run, "id long, pos int, dist double, did long, val double")
+        near = found if near is None else near.union(found)
+    if near is None:
+        return df
     w = Window.partitionBy("id", "pos").orderBy("dist", "did")
-    near = cells.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).groupBy("id", "pos").agg(F.avg("val").alias("val"))
-    wide = near.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "val"))).alias("m"))
-    means = df.agg(*[F.avg(c).alias(f"__m{i}") for i, c in enumerate(columns)])
+    near = near.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).groupBy("id", "pos").agg(F.avg("val").alias("val"))
+    wide = near.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "val"))).alias("__near"))
+    means = df.agg(*[F.avg(F.col(f"`{c}`")).alias(f"__m{i}") for i, c in enumerate(columns)])
     joined = df.join(wide.withColumnRenamed("id", "__id"), F.col(key) == F.col("__id"), "left").crossJoin(F.broadcast(means))
-    return joined.select(*[F.coalesce(F.col(c).cast("double"), F.try_element_at("m", F.lit(columns.index(c))), F.col(f"__m{columns.index(c)}")).alias(c) if c in columns else F.col(c) for c in df.columns])
+    place = {c: i for i, c in enumerate(columns)}
+    return joined.select(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.try_element_at("__near", F.lit(place[c])), F.col(f"__m{place[c]}")).alias(c) if c in place else F.col(f"`{c}`") for c in df.columns])
 
 
 def mean_impute(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -75,7 +117,6 @@ def mean_impute(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def covariance(df: DataFrame, column: str = "features") -> tuple[np.ndarray, np.ndarray, int]:
     """Mean, covariance and row count of an array column, summed by partition: what comes to the driver is p by p."""
-    import pyarrow as pa
 
     def part(batches):
         n, total, square = 0, None, None

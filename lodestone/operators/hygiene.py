@@ -10,31 +10,35 @@ from ..functions.scalars import is_labeled
 
 
 class TableError(ValueError):
-    """A table that can't be used; the message says why."""
+    """A table that can't be used; the message says why, ``code`` is the command line's exit status."""
 
+    code = 1
 
-class DuplicateColumn(TableError):
-    pass
 
+def _kind(name: str, code: int, doc: str) -> type[TableError]:
+    return type(name, (TableError,), {"code": code, "__doc__": doc, "__module__": __name__})
 
-class MissingColumn(TableError):
-    pass
 
-
-class OrphanTarget(TableError):
-    pass
-
-
-class DuplicateKey(TableError):
-    pass
-
-
-class MissingValues(TableError):
-    pass
-
-
-class TooFewColumns(TableError):
-    pass
+BatchState = _kind("BatchState", 1, "Batches that the mode can't go on from: a seed set where none may be, or none where one must be.")
+MissingColumn = _kind("MissingColumn", 2, "A column that the operation needs isn't there.")
+MissingTarget = _kind("MissingTarget", 3, "The target column isn't there.")
+MissingName = _kind("MissingName", 4, "The name column isn't there.")
+UnknownIgnored = _kind("UnknownIgnored", 5, "Ignored columns that aren't there.")
+MissingValues = _kind("MissingValues", 6, "Missing values, and filling in is off.")
+TooFewColumns = _kind("TooFewColumns", 7, "Too few descriptor columns are left.")
+DuplicateKey = _kind("DuplicateKey", 8, "A key of several rows.")
+MissingInput = _kind("MissingInput", 9, "No input was named.")
+InputNotFound = _kind("InputNotFound", 10, "The input doesn't exist.")
+OrphanTarget = _kind("OrphanTarget", 11, "Rows with a target but without a batch.")
+DescriptorsFailed = _kind("DescriptorsFailed", 12, "The caller's descriptor function failed.")
+NameRequired = _kind("NameRequired", 13, "A name column is needed.")
+IncompleteBatch = _kind("IncompleteBatch", 14, "Rows of the last batch have no target.")
+NoTargets = _kind("NoTargets", 15, "Neither batches nor targets.")
+DuplicateColumn = _kind("DuplicateColumn", 16, "Several columns of one name.")
+EqualPredictions = _kind("EqualPredictions", 17, "All predictions are equal.")
+RowCountMismatch = _kind("RowCountMismatch", 18, "Tables that are joined row by row have different numbers of rows.")
+TooManyPoints = _kind("TooManyPoints", 19, "More rows are asked for than there are.")
+UnsupportedFormat = _kind("UnsupportedFormat", 20, "A file format that can't be read.")
 
 
 # Columns
@@ -67,6 +71,11 @@ def batch_last(df: DataFrame, batch: str = "batch") -> DataFrame:
     return df.select(*[c for c in df.columns if c != batch], batch)
 
 
+def sort_by_batch(df: DataFrame, key: str, batch: str = "batch", latest_first: bool = False) -> DataFrame:
+    """In the order of batches, rows without one last; within a batch by key. A range sort: partitions hold the order, none holds all rows."""
+    return df.orderBy(F.desc_nulls_last(batch) if latest_first else F.asc_nulls_last(batch), key)
+
+
 # Rows
 
 
@@ -98,10 +107,16 @@ def next_batch(df: DataFrame, y: str, batch: str = "batch") -> DataFrame:
 
 
 def bootstrap_batches(df: DataFrame, y: str, batch: str = "batch") -> DataFrame:
-    """With no batch at all, labeled rows become batch 0; else the table as it is. Orphan targets are an error."""
-    state = df.agg(F.count(batch).alias("batches"), F.count_if(is_labeled(F.col(y)) & F.col(batch).isNull()).alias("orphans")).first()
+    """With no batch at all, labeled rows become batch 0; else the table as it is. No target at all, a last batch without all its
+    targets, and targets without a batch are errors."""
+    state = df.agg(F.count(batch).alias("batches"), F.count_if(is_labeled(F.col(y)) & F.col(batch).isNull()).alias("orphans"), F.count_if(is_labeled(F.col(y))).alias("labeled")).first()
     if state["batches"] == 0:
+        if not state["labeled"]:
+            raise NoTargets(f"the table has no batch, and no target in {y}")
         return df.withColumn(batch, F.when(is_labeled(F.col(y)), F.lit(0)).cast("int"))
+    last = last_batch_complete(df, y, batch).first()
+    if not last["complete"]:
+        raise IncompleteBatch(f"rows of batch {last[batch]} have no target")
     if state["orphans"]:
         raise OrphanTarget(f"{state['orphans']} rows have a target but no batch")
     return df
@@ -124,6 +139,8 @@ def fill_in(df: DataFrame, imputed: DataFrame, key: str, columns: list[str]) ->
 
 def dedup_rows(df: DataFrame, order: list[str | Column], keys: list[str | Column] | None = None) -> DataFrame:
     """The first row, in the given order, of each set of rows that agree in the keys (all columns if None)."""
+    if keys is None and order and all(isinstance(c, str) for c in order) and set(order) <= set(df.columns):
+        return df.distinct()  # whole rows agree in the order too, so any of them is the first; partial aggregates go before the shuffle
     w = Window.partitionBy(*(keys or df.columns)).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
@@ -159,7 +176,7 @@ def duplicate_columns(df: DataFrame, columns: list[str]) -> list[str]:
 def attach(df: DataFrame, right: DataFrame, key: str = "row_id", guard: bool = False) -> DataFrame:
     """Columns of another table, row by row; ``guard``: both must have as many rows."""
     if guard and (a := df.count()) != (b := right.count()):
-        raise TableError(f"{a} rows can't be joined with {b}")
+        raise RowCountMismatch(f"{a} rows can't be joined with {b}")
     return df.join(right, key)
 
 

@@ -15,15 +15,22 @@ KINDS = {"forest": lambda seed: RandomForestRegressor(seed=seed, numTrees=20, ma
 
 
 def ensemble(columns: list[str], y: str = "y", kind: str = "forest", members: int = 3, fraction: float = 0.8, key: str = "row_id") -> FitPredict:
-    """Members are trained on different parts of the labeled rows, chosen by a hash of the key."""
+    """Members are trained on different parts of the labeled rows, chosen by a hash of the key.
+
+    A missing feature (NULL or NaN) takes the training rows' mean of its column, 0 if they have none: no row of the pool is dropped.
+    """
 
     def fit_predict(train: DataFrame, pool: DataFrame) -> DataFrame:
-        a = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip")
-        rows, ask = a.transform(train.select(key, *columns, F.col(y).cast("double").alias("label"))).cache(), a.transform(pool.select(key, *columns))
+        a = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="error")
+        known = {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in columns}
+        means = train.agg(*[F.avg(known[c]).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+        filled = [F.coalesce(known[c], F.lit(means[i]), F.lit(0.0)).alias(c) for i, c in enumerate(columns)]
+        rows, ask = a.transform(train.select(key, *filled, F.col(y).cast("double").alias("label"))).cache(), a.transform(pool.select(key, *filled))
         for m in range(members):
             part = rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(m)), F.lit(1000)) < int(1000 * fraction))
             model = KINDS[kind](m).fit(part if part.limit(1).count() else rows)
             ask = model.setPredictionCol(f"__p{m}").transform(ask)
+        rows.unpersist()
         p = F.array(*[f"__p{m}" for m in range(members)])
         mean = F.aggregate(p, F.lit(0.0), lambda s, x: s + x) / members
         out = ask.select(key, mean.alias("y_pred"), p.alias("p"))

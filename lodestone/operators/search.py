@@ -46,37 +46,48 @@ class Budget:
     area: float | None = None
 
 
-def stop_at(found: list[Budget], n: int, area: float = 0.85) -> Budget:
-    """The first budget after which more rows bring little, else the one of the smallest gap."""
-    def gain(i: int, ahead: int) -> float:
-        if i + ahead >= len(found) or not found[i].gap:
-            return 0.0
-        return (found[i].gap - found[i + ahead].gap) / found[i].gap
+def marginal_gain(table: DataFrame, value: str, order: str) -> DataFrame:
+    """(order, gain): the share by which the value fell since the row before; NULL for the first row and after 0."""
+    prev = F.lag(value).over(Window.orderBy(order))
+    return table.select(order, F.try_divide(prev - F.col(value), prev).alias("gain"))
+
 
-    def required(i: int, ahead: int) -> float:
-        if i + ahead >= len(found):
-            return 0.05 * ahead
-        return (0.05 if n < 100 else 0.005) * (found[i + ahead].size - found[i].size)
+def look_ahead(table: DataFrame, value: str, order: str, steps: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """(order, g1, g2, ...): the share by which the value falls over so many rows to come; 0 at the end and where the value is 0."""
+    w = Window.orderBy(order)
+    return table.select(order, *[F.coalesce(F.try_divide(F.col(value) - F.lead(value, k).over(w), F.col(value)), F.lit(0.0)).alias(f"g{k}") for k in steps])
+
+
+@dataclass
+class Decision:
+    """A budget with the gains of the next one and two, and whether they are too small to go on."""
 
-    wide = [b for b in found if b.area is None or b.area >= area]
+    budget: Budget
+    gains: tuple[float, float]
+    required: tuple[float, float]
+    accepted: bool
+
+
+def decide(found: list[Budget], n: int, area: float = 0.85) -> list[Decision]:
+    """The stop rule for each budget, in order of size. Budgets are a few dozen, so this is the driver's work."""
+    out = []
     for i, b in enumerate(found):
-        if b in wide and gain(i, 1) < required(i, 1) and gain(i, 2) < required(i, 2) and (n >= 100 or b.size >= max(3, math.ceil(0.05 * n))):
-            return b
-    return min(wide or found, key=lambda b: b.gap)
+        gains, required = [], []
+        for ahead in (1, 2):
+            later = found[i + ahead] if i + ahead < len(found) else None
+            gains.append(0.0 if later is None or not b.gap else (b.gap - later.gap) / b.gap)
+            required.append(0.05 * ahead if later is None else (0.05 if n < 100 else 0.005) * (later.size - b.size))
+        enough = (b.area is None or b.area >= area) and (n >= 100 or b.size >= max(3, math.ceil(0.05 * n)))
+        out.append(Decision(b, tuple(gains), tuple(required), enough and all(g < r for g, r in zip(gains, required, strict=True))))
+    return out
 
 
-def stop_rule(table: DataFrame, n: int, area: float = 0.85) -> DataFrame:
-    """The same rule over (size, gap, area): each budget with its gains and whether it is accepted."""
-    w = Window.orderBy("size")
-    out = table
-    for k in (1, 2):
-        ahead = F.lead("size", k).over(w)
-        out = out.withColumn(f"g{k}", F.when(ahead.isNull() | (F.col("gap") == 0), 0.0).otherwise(F.try_divide(F.col("gap") - F.lead("gap", k).over(w), F.col("gap"))))
-        out = out.withColumn(f"r{k}", F.when(ahead.isNull(), 0.05 * k).otherwise(F.lit(0.05 if n < 100 else 0.005) * (ahead - F.col("size"))))
-    ok = (F.col("area").isNull() | (F.col("area") >= area)) & (F.col("g1") < F.col("r1")) & (F.col("g2") < F.col("r2"))
-    if n < 100:
-        ok = ok & (F.col("size") >= max(3, math.ceil(0.05 * n)))
-    return out.withColumn("accepted", ok)
+def stop_at(found: list[Budget], n: int, area: float = 0.85) -> Budget:
+    """The first budget after which more rows bring little, else the one of the smallest gap."""
+    for d in decide(found, n, area):
+        if d.accepted:
+            return d.budget
+    return min([b for b in found if b.area is None or b.area >= area] or found, key=lambda b: b.gap)
 
 
 def auto_budget(n: int, measure: Callable[[int], Budget], grid: list[int] | None = None) -> tuple[Budget, list[Budget]]:
@@ -84,22 +95,19 @@ def auto_budget(n: int, measure: Callable[[int], Budget], grid: list[int] | None
     found: list[Budget] = []
     for size in grid or budget_grid(n):
         found.append(measure(size))
-        if n >= 10_000 and len(found) >= 3:
-            i = len(found) - 3
-            b = found[i]
-            gains = [(b.gap - found[i + k].gap) / b.gap if b.gap else 0.0 for k in (1, 2)]
-            if (b.area is None or b.area >= 0.85) and all(g < 0.005 * (found[i + k].size - b.size) for k, g in zip((1, 2), gains, strict=True)):
-                return b, found
+        if n >= 10_000 and len(found) >= 3 and decide(found, n)[-3].accepted:
+            return found[-3], found
     return stop_at(found, n), found
 
 
 # Integer search by a Gaussian process
 
 
-def search_budget(space: int, grid: int = 6, centers: int = 2, radius: int = 1, fraction: float = 0.3, most: int = 30) -> tuple[int, int]:
+def search_budget(space: int, grid: int = 10, centers: int = 1, radius: int = 2, fraction: float = 0.20, most: int = 30) -> tuple[int, int]:
     """How many values to look at first, and how many to choose after that."""
-    total = min(max(grid + centers * (2 * radius + 1), math.ceil(fraction * space)), most, space)
-    return total // 2, total - total // 2
+    total = max(1, min(max(grid + centers * (2 * radius + 1), math.ceil(fraction * space)), most, space))
+    first = total if total <= 1 else max(1, total // 2)
+    return first, total - first
 
 
 def matern(a: np.ndarray, b: np.ndarray, scale: float) -> np.ndarray:
@@ -133,27 +141,30 @@ def expected_improvement(seen: np.ndarray, value: np.ndarray, ask: np.ndarray, x
 
 @dataclass
 class IntegerSearch:
-    """Maximise a costly function of an integer: an even grid first, then where improvement is expected."""
+    """Maximise a costly function of an integer: an even grid first, all at once, then one by one where improvement is expected."""
 
-    objective: Callable[[int], float]
+    objective: Callable[[list[int]], list[float]]
     low: int
     high: int
+    budget: tuple[int, int] | None = None
     seen: dict[int, float] = field(default_factory=dict)
 
     def run(self) -> int:
         space = list(range(self.low, self.high + 1))
-        first, rest = search_budget(len(space))
-        for k in sorted({int(round(x)) for x in np.linspace(self.low, self.high, max(2, min(first, len(space))))}):
-            self._look(k)
+        first, rest = self.budget or search_budget(len(space))
+        self._look(space if len(space) <= first else sorted({space[round(float(x))] for x in np.linspace(0, len(space) - 1, first)}))
         for _ in range(rest):
             ask = [k for k in space if k not in self.seen]
             if not ask:
                 break
-            known = sorted(self.seen)
+            known = sorted(k for k in self.seen if math.isfinite(self.seen[k]))
+            if len(known) < 2:
+                self._look(ask[:1])
+                continue
             ei = expected_improvement(np.array(known, float), np.array([self.seen[k] for k in known]), np.array(ask, float))
-            self._look(ask[int(ei.argmax())])
+            self._look([ask[int(ei.argmax())]])
         return max(sorted(self.seen), key=lambda k: self.seen[k])
 
-    def _look(self, k: int) -> None:
-        if k not in self.seen:
-            self.seen[k] = self.objective(k)
+    def _look(self, ks: list[int]) -> None:
+        if new := [k for k in ks if k not in self.seen]:
+            self.seen.update(zip(new, self.objective(new), strict=True))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-
-#: Up to so many rows quantiles come from one aggregation that holds a column's distinct values; beyond, from brackets. Both are exact.
-ROWS_AT_ONCE = 2_000_000
+from ..session import ship
 
 
 def unpivot(df: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFrame:
@@ -26,28 +27,30 @@ def modal_share(df: DataFrame, columns: list[str]) -> DataFrame:
     return counts.groupBy("descriptor").agg(F.sum("c").alias("n"), F.count("*").alias("n_distinct"), (F.max("c") / F.sum("c")).alias("top_share"))
 
 
-def quantiles(df: DataFrame, columns: list[str], probs: tuple[float, ...] = (0.25, 0.5, 0.75), accuracy: int = 10_000) -> dict[str, list[float | None]]:
-    """Exact quantiles with linear interpolation, without gathering a column's values in one place.
+def quantiles(df: DataFrame, columns: list[str], probs: tuple[float, ...] = (0.25, 0.5, 0.75), accuracy: int = 1_000) -> tuple[dict[str, list[float | None]], dict[str, float | None]]:
+    """Exact quantiles with linear interpolation, without gathering a column's values in one place; and population standard deviations.
 
     A sketch brackets each quantile; the values below the brackets are counted, and only those inside, by distinct
-    value, are put in order. So what is sorted is a few parts in 10,000 of the rows.
+    value, are put in order. So what is sorted is a few parts in 1,000 of the rows.
     """
     margin = 3.0 / accuracy
     x = {c: F.col(c).cast("double") for c in columns}
     ends = F.array(*[F.lit(min(1.0, max(0.0, p + d))) for p in probs for d in (-margin, margin)])
-    first = df.agg(*[F.struct(F.count(c).alias("n"), F.percentile_approx(x[c], ends, accuracy).alias("b"), F.min(x[c]).alias("lo"), F.max(x[c]).alias("hi")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    first = df.agg(*[F.struct(F.count(c).alias("n"), F.percentile_approx(x[c], ends, accuracy).alias("b"), F.min(x[c]).alias("lo"), F.max(x[c]).alias("hi"), F.stddev_pop(x[c]).alias("sd")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     cells = []  # column, quantile, bracket, the two ranks and the weight of the second
     for i, c in enumerate(columns):
         r = first[i]
         for j, p in enumerate(probs):
             if r.n:
                 at = (r.n - 1) * p
-                low = r.lo if p - margin <= 0 else r.b[2 * j]
-                high = r.hi if p + margin >= 1 else r.b[2 * j + 1]
+                few = r.n < 20 * accuracy  # a bracket would be a few ranks wide: all values are put in order
+                low = r.lo if few or p - margin <= 0 else r.b[2 * j]
+                high = r.hi if few or p + margin >= 1 else r.b[2 * j + 1]
                 cells.append((i, j, low, high, math.floor(at), math.ceil(at), at - math.floor(at)))
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
+    sds = {c: first[i].sd for i, c in enumerate(columns)}
     if not cells:
-        return out
+        return out, sds
     below = df.agg(*[F.count_if(x[columns[i]] < F.lit(low)).alias(f"b{k}") for k, (i, _, low, *_) in enumerate(cells)]).first()
     inside = F.array(*[F.when(x[columns[i]].between(F.lit(low), F.lit(high)), F.struct(F.lit(k).alias("k"), x[columns[i]].alias("v"))) for k, (i, _, low, high, *_) in enumerate(cells)])
     counts = df.select(F.explode(F.array_compact(inside)).alias("e")).groupBy("e.k", "e.v").agg(F.count("*").alias("n"))
@@ -57,20 +60,13 @@ def quantiles(df: DataFrame, columns: list[str], probs: tuple[float, ...] = (0.2
     for r in ranked.collect():
         i, j, *_, part = cells[r.k]
         out[columns[i]][j] = r.v0 if part == 0 else r.v0 + (r.v1 - r.v0) * part
-    return out
+    return out, sds
 
 
 def robust_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """(descriptor, sd, q1, median, q3, iqr, rel): rel = iqr / (|median| + iqr), 0 where that is 0."""
-    names, sds = list(columns), [F.stddev_pop(F.col(c).cast("double")) for c in columns]
-    if df.count() <= ROWS_AT_ONCE:
-        # A column's distinct values fit in one place: one aggregation.
-        parts = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-        row = df.agg(*sds, *[F.percentile(F.col(c).cast("double"), parts) for c in names]).first()
-        sd, q = row[: len(names)], {c: row[len(names) + i] or [None] * 3 for i, c in enumerate(names)}
-    else:
-        sd, q = df.agg(*sds).first(), quantiles(df, names)
-    s = df.sparkSession.createDataFrame([(c, s, *q[c]) for c, s in zip(names, sd, strict=True)], "descriptor string, sd double, q1 double, median double, q3 double").withColumn("iqr", F.col("q3") - F.col("q1"))
+    q, sd = quantiles(df, columns)
+    s = df.sparkSession.createDataFrame([(c, sd[c], *q[c]) for c in columns], "descriptor string, sd double, q1 double, median double, q3 double").withColumn("iqr", F.col("q3") - F.col("q1"))
     base = F.abs("median") + F.col("iqr")
     return s.withColumn("rel", F.when(base <= 1e-9, 0.0).otherwise(F.try_divide("iqr", base)))
 
@@ -90,13 +86,42 @@ def low_variance(df: DataFrame, columns: list[str], binary: float = 0.05, iqr: f
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, r): absolute Pearson correlation of each pair over rows that have both; one aggregation."""
-    pairs = [(a, b) for j, b in enumerate(columns) for a in columns[:j]]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "a string, b string, r double")
-    x = {c: F.col(c).cast("double") for c in columns}
-    both = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.abs(F.corr(F.when(x[b].isNotNull(), x[a]), F.when(x[a].isNotNull(), x[b]))).alias("r")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
-    return df.agg(*both).select(F.explode(F.array(*[f"p{i}" for i in range(len(pairs))])).alias("p")).select("p.*")
+    """(a, b, r): absolute Pearson correlation of each pair over rows that have both; NULL where one of them doesn't vary.
+
+    Each task sums p by p moments over its Arrow batches, around the columns' means, and counts each pair's rows; the tasks' sums are
+    added column by column, in parallel.
+    """
+    spark, p = df.sparkSession, len(columns)
+    if p < 2:
+        return spark.createDataFrame([], "a string, b string, r double")
+    ship(spark)
+    means = df.agg(*[F.avg(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    centre = np.array([m or 0.0 for m in means], np.float64)
+    names = ("n", "sa", "sb", "qa", "qb", "ab")
+
+    def part(batches):
+        total = np.zeros((6, p, p))
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in b.columns], 1) - centre
+            m = (~np.isnan(x)).astype(np.float64)
+            x = np.where(m > 0, x, 0)
+            s, q = x.T @ m, (x * x).T @ m  # of the row's column, over rows that have the other too
+            total += np.stack((m.T @ m, s, s.T, q, q.T, x.T @ x))
+        j = np.arange(1, p)
+        yield pa.RecordBatch.from_pydict({"j": pa.array(j.astype(np.int32))} | {k: pa.array([total[i, :c, c].tolist() for c in j], pa.list_(pa.float64())) for i, k in enumerate(names)})
+
+    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
+        n, sa, sb, qa, qb, ab = (np.sum(np.stack(rows[k].to_list()), 0) for k in names)
+        j = int(rows["j"].iloc[0])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            va, vb = qa - sa * sa / n, qb - sb * sb / n
+            r = np.abs((ab - sa * sb / n) / np.sqrt(va * vb))
+        still = (va <= 1e-14 * qa) | (vb <= 1e-14 * qb)
+        return pd.DataFrame({"a": columns[:j], "b": columns[j], "r": np.where(still | ~np.isfinite(r), np.nan, np.minimum(r, 1.0))})
+
+    moments = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(part, "j int, " + ", ".join(f"{k} array<double>" for k in names))
+    out = moments.groupBy("j").applyInPandas(pairs, "a string, b string, r double")
+    return out.withColumn("r", F.nanvl("r", F.lit(None).cast("double")))
 
 
 def correlated_columns(df: DataFrame, columns: list[str], limit: float = 0.95) -> list[str]:

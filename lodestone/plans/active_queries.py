@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import score_label
 from ..operators import acquisition as A
+from ..operators import search
 from .registry import register, table
 from .table_queries import al_table
 
@@ -105,15 +106,12 @@ def history_upsert(spark, sf):
 
 @register("previous_batch", f"WITH {HISTORY} SELECT batch, round((lag(rmse) OVER (ORDER BY batch) - rmse) / lag(rmse) OVER (ORDER BY batch), 6) AS gain FROM h")
 def previous_batch(spark, sf):
-    w = Window.orderBy("batch")
-    return history(spark, sf).select("batch", F.round((F.lag("rmse").over(w) - F.col("rmse")) / F.lag("rmse").over(w), 6).alias("gain"))
+    return search.marginal_gain(history(spark, sf), "rmse", "batch").withColumn("gain", F.round("gain", 6))
 
 
 @register("look_ahead_gain", f"WITH {HISTORY} SELECT batch, round(coalesce((rmse - lead(rmse, 1) OVER w) / rmse, 0), 6) + 0.0 AS g1, round(coalesce((rmse - lead(rmse, 2) OVER w) / rmse, 0), 6) + 0.0 AS g2 FROM h WINDOW w AS (ORDER BY batch)")
 def look_ahead_gain(spark, sf):
-    w = Window.orderBy("batch")
-    g = lambda k: (F.round(F.coalesce((F.col("rmse") - F.lead("rmse", k).over(w)) / F.col("rmse"), F.lit(0.0)), 6) + 0.0).alias(f"g{k}")
-    return history(spark, sf).select("batch", g(1), g(2))
+    return search.look_ahead(history(spark, sf), "rmse", "batch").select("batch", *[(F.round(g, 6) + 0.0).alias(g) for g in ("g1", "g2")])
 
 
 @register("quartile_labels", f"WITH {PRED}, b AS (SELECT min(y_pred) AS lo, (max(y_pred) - min(y_pred)) / 4 AS s FROM pred) SELECT row_id, CASE WHEN y_pred <= lo + s THEN 'q1' WHEN y_pred <= lo + 2 * s THEN 'q2' WHEN y_pred <= lo + 3 * s THEN 'q3' ELSE 'q4' END AS quartile FROM pred, b")
@@ -132,7 +130,7 @@ def range_quartiles(spark, sf):
 
 @register("quartile_diversity")
 def quartile_diversity(spark, sf):
-    order = A.diversity_order(predictions(spark, sf).where("row_id % 3 = 0"), 10)
+    order = A.diversity_order(predictions(spark, sf), 10)
     return spark.createDataFrame([(i + 1, r, q) for i, (r, q) in enumerate(order)], "place long, row_id long, quartile string")
 
 

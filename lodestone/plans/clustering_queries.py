@@ -36,18 +36,18 @@ def adjusted_rand(spark, sf):
     return stats.adjusted_rand(f, "label", "other").select((F.round("ari", 6) + 0.0).alias("ari"))
 
 
-SIL = f"""e AS ({EMB}), p AS (SELECT a.row_id, a.label AS la, b.label AS lb, avg(list_distance(a.f, b.f)) AS d FROM e a, e b WHERE a.row_id <> b.row_id AND a.row_id < 500 AND b.row_id < 500 GROUP BY ALL),
+SIL = f"""e AS ({EMB}), p AS (SELECT a.row_id, a.label AS la, b.label AS lb, avg(list_distance(a.f, b.f)) AS d FROM e a, e b WHERE a.row_id <> b.row_id GROUP BY ALL),
   s AS (SELECT row_id, max(d) FILTER (WHERE la = lb) AS i, min(d) FILTER (WHERE la <> lb) AS o FROM p GROUP BY 1), r AS (SELECT row_id, CASE WHEN i IS NULL OR o IS NULL THEN 0.0 ELSE (o - i) / greatest(o, i) END AS silhouette FROM s)"""
 
 
 @register("silhouette_rows", f"WITH {SIL} SELECT row_id, round(silhouette, 6) + 0.0 AS silhouette FROM r")
 def silhouette_rows(spark, sf):
-    return C.silhouette_rows(features(spark, sf).where("row_id < 500")).withColumn("silhouette", F.round("silhouette", 6) + 0.0)
+    return C.silhouette_rows(features(spark, sf)).withColumn("silhouette", F.round("silhouette", 6) + 0.0)
 
 
 @register("silhouette", f"WITH {SIL} SELECT round(avg(silhouette), 6) + 0.0 AS silhouette FROM r")
 def silhouette(spark, sf):
-    return C.silhouette(features(spark, sf).where("row_id < 500")).withColumn("silhouette", F.round("silhouette", 6) + 0.0)
+    return C.silhouette(features(spark, sf)).withColumn("silhouette", F.round("silhouette", 6) + 0.0)
 
 
 DIMS = "x AS (SELECT label, generate_subscripts(embedding, 1) AS p, unnest(embedding::DOUBLE[]) AS v FROM embeddings)"
@@ -65,23 +65,37 @@ def davies_bouldin(spark, sf):
 
 #: Made-up candidates, one for each nation.
 CANDIDATES = """c AS (SELECT n_nationkey::INT AS id, n_nationkey % 7 AS n_clusters, n_nationkey / 20.0 - 0.2 AS silhouette, (n_nationkey * 7 % 10) / 20.0 AS noise_fraction, (n_nationkey * 3 % 10) / 10.0 AS max_fraction, (n_nationkey % 11) / 10.0 AS imbalance,
-  n_nationkey * 13 % 19 * 1.5 AS calinski_harabasz, CASE WHEN n_nationkey % 6 = 5 THEN 'Infinity'::DOUBLE ELSE (n_nationkey * 5 % 9) / 3.0 END AS davies_bouldin, (n_nationkey * 11 % 10) / 10.0 AS stability FROM nation)"""
+  n_nationkey * 13 % 19 * 1.5 AS calinski_harabasz, CASE WHEN n_nationkey % 6 = 5 THEN 'Infinity'::DOUBLE ELSE (n_nationkey * 5 % 9) / 3.0 END AS davies_bouldin, (n_nationkey * 11 % 10) / 10.0 AS stability, (n_nationkey * 7 % 8) / 8.0 AS density FROM nation)"""
 
 
-def candidates(spark, sf):
+def candidates(spark, sf) -> list[C.Candidate]:
+    """The same as candidates of the library, with the reasons that its filters find."""
     from .registry import table
 
     k = F.col("n_nationkey").cast("int")
     d = lambda c, by: c.cast("double") / F.lit(float(by))
-    return table(spark, sf, "nation").select(
+    rows = table(spark, sf, "nation").select(
         k.alias("id"), (k % 7).alias("n_clusters"), (d(k, 20) - 0.2).alias("silhouette"), d(k * 7 % 10, 20).alias("noise_fraction"), d(k * 3 % 10, 10).alias("max_fraction"), d(k % 11, 10).alias("imbalance"),
-        (k * 13 % 19 * 1.5).alias("calinski_harabasz"), F.when(k % 6 == 5, float("inf")).otherwise(d(k * 5 % 9, 3)).alias("davies_bouldin"), d(k * 11 % 10, 10).alias("stability"),
+        (k * 13 % 19 * 1.5).alias("calinski_harabasz"), F.when(k % 6 == 5, float("inf")).otherwise(d(k * 5 % 9, 3)).alias("davies_bouldin"), d(k * 11 % 10, 10).alias("stability"), d(k * 7 % 8, 8).alias("density"),
     )
+    return [C.Candidate("made up", {"id": r.id}, m := r.asDict(), C.filter_reasons(m)) for r in rows.orderBy("id").collect()]
+
+
+def passing(spark, sf) -> list[C.Candidate]:
+    """All of them, as if they had passed the filters."""
+    found = candidates(spark, sf)
+    for c in found:
+        c.reasons = []
+    return found
+
+
+def _rounded(v: float, digits: int) -> float:
+    return round(v, digits) + 0.0
 
 
 @register("quality_filters", f"WITH {CANDIDATES} SELECT id, concat_ws(',', CASE WHEN n_clusters < 2 THEN 'too_few_clusters' END, CASE WHEN silhouette < 0 THEN 'silhouette' END, CASE WHEN noise_fraction > 0.20 THEN 'noise' END, CASE WHEN max_fraction > 0.85 THEN 'dominant_cluster' END, CASE WHEN imbalance > 0.90 THEN 'imbalance' END) AS reasons FROM c")
 def quality_filters(spark, sf):
-    return candidates(spark, sf).select("id", F.array_join(C.reasons_column(), ",").alias("reasons"))
+    return spark.createDataFrame([(c.params["id"], ",".join(c.reasons)) for c in candidates(spark, sf)], "id int, reasons string")
 
 
 def _norm(c: str, lower: bool = False) -> str:
@@ -90,43 +104,61 @@ def _norm(c: str, lower: bool = False) -> str:
     return f"(CASE WHEN {hi} - {lo} <= 1e-12 THEN 1.0 ELSE (coalesce({v}, {lo}) - {lo}) / ({hi} - {lo}) END)"
 
 
-NORM = f"n AS (SELECT *, {_norm('silhouette::DOUBLE')} AS sil, {_norm('calinski_harabasz::DOUBLE')} AS ch, {_norm('davies_bouldin', True)} AS db, {_norm('stability::DOUBLE')} AS stab FROM c)"
-
-
-def scored(spark, sf):
-    return candidates(spark, sf).select("*", C.normalized(F.col("silhouette")).alias("sil"), C.normalized(F.col("calinski_harabasz")).alias("ch"), C.normalized(F.col("davies_bouldin"), True).alias("db"), C.normalized(F.col("stability")).alias("stab"))
+NORM = f"n AS (SELECT *, {_norm('silhouette::DOUBLE')} AS sil, {_norm('calinski_harabasz::DOUBLE')} AS ch, {_norm('davies_bouldin', True)} AS db, {_norm('stability::DOUBLE')} AS stab, {_norm('density::DOUBLE')} AS dens FROM c)"
+INTERNAL = "0.35 * sil + 0.25 * ch + 0.20 * db + 0.20 * stab - 0.05 * imbalance"
 
 
 @register("normalized_scores", f"WITH {CANDIDATES}, {NORM} SELECT id, round(sil, 6) AS sil, round(ch, 6) AS ch, round(db, 6) AS db FROM n")
 def normalized_scores(spark, sf):
-    return scored(spark, sf).select("id", *[F.round(c, 6).alias(c) for c in ("sil", "ch", "db")])
+    found = candidates(spark, sf)
+    sil, ch, db = (C.normalize([c.metrics[k] for c in found], k == "davies_bouldin") for k in ("silhouette", "calinski_harabasz", "davies_bouldin"))
+    return spark.createDataFrame([(c.params["id"], *[_rounded(v[i], 6) for v in (sil, ch, db)]) for i, c in enumerate(found)], "id int, sil double, ch double, db double")
 
 
-@register("internal_scores", f"WITH {CANDIDATES}, {NORM} SELECT id, round(0.35 * sil + 0.25 * ch + 0.20 * db + 0.20 * stability - 0.05 * imbalance, 5) + 0.0 AS internal FROM n")
+@register("internal_scores", f"WITH {CANDIDATES}, {NORM} SELECT id, round({INTERNAL}, 5) + 0.0 AS internal, round(0.35 * sil + 0.20 * dens + 0.25 * stab + 0.10 * db + 0.10 * ch - 0.10 * noise_fraction - 0.05 * imbalance, 5) + 0.0 AS by_density FROM n")
 def internal_scores(spark, sf):
-    internal = 0.35 * F.col("sil") + 0.25 * F.col("ch") + 0.20 * F.col("db") + 0.20 * F.col("stability") - 0.05 * F.col("imbalance")
-    return scored(spark, sf).select("id", (F.round(internal, 5) + 0.0).alias("internal"))
+    found, dense = passing(spark, sf), passing(spark, sf)
+    C.internal_scores(found)
+    C.internal_scores(dense, density=True)
+    return spark.createDataFrame([(a.params["id"], _rounded(a.internal, 5), _rounded(b.internal, 5)) for a, b in zip(found, dense, strict=True)], "id int, internal double, by_density double")
 
 
 @register("final_scores", f"WITH {CANDIDATES}, {NORM} SELECT id, round(0.30 * stab + 0.32 * sil + 0.22 * db - 0.12 * noise_fraction - 0.04 * imbalance, 5) + 0.0 AS final FROM n")
 def final_scores(spark, sf):
-    final = 0.30 * F.col("stab") + 0.32 * F.col("sil") + 0.22 * F.col("db") - 0.12 * F.col("noise_fraction") - 0.04 * F.col("imbalance")
-    return scored(spark, sf).select("id", (F.round(final, 5) + 0.0).alias("final"))
+    found = passing(spark, sf)
+    C.final_scores(found)
+    return spark.createDataFrame([(c.params["id"], _rounded(c.final, 5)) for c in found], "id int, final double")
 
 
-@register("simplest_model", f"WITH {CANDIDATES}, {NORM}, i AS (SELECT id, n_clusters, round(0.35 * sil + 0.25 * ch + 0.20 * db, 6) AS score FROM n WHERE n_clusters >= 2) SELECT id, n_clusters, score FROM i WHERE score >= (SELECT max(score) FROM i) - 0.1 ORDER BY n_clusters, score DESC, id LIMIT 1")
+@register("simplest_model", f"WITH {CANDIDATES}, {NORM}, i AS (SELECT id, n_clusters, {INTERNAL} AS score FROM n) SELECT id, n_clusters, round(score, 5) AS score FROM i WHERE score >= (SELECT max(score) FROM i) - 0.02 ORDER BY n_clusters, i.score DESC, id LIMIT 1")
 def simplest_model(spark, sf):
-    # Normalisation is over all candidates, so it must come before the filter.
-    i = scored(spark, sf).select("id", "n_clusters", F.round(0.35 * F.col("sil") + 0.25 * F.col("ch") + 0.20 * F.col("db"), 6).alias("score")).where("n_clusters >= 2")
-    top = i.agg(F.max("score").alias("top"))
-    return i.crossJoin(F.broadcast(top)).where("score >= top - 0.1").orderBy("n_clusters", F.desc("score"), "id").limit(1).drop("top")
+    found = passing(spark, sf)
+    C.internal_scores(found)
+    best = C.simplest(found)
+    return spark.createDataFrame([(best.params["id"], best.metrics["n_clusters"], _rounded(best.internal, 5))], "id int, n_clusters int, score double")
 
 
-@register("search_objective", f"WITH {CANDIDATES} SELECT id, round(CASE WHEN silhouette < 0 OR n_clusters < 2 THEN -1 ELSE 0.45 * (silhouette + 1) / 2 + 0.25 * stability + CASE WHEN isinf(davies_bouldin) THEN 0 ELSE 0.25 / (1 + davies_bouldin) END - 0.05 * imbalance END, 5) + 0.0 AS objective FROM c")
+@register("search_objective", f"WITH {CANDIDATES} SELECT id, round(CASE WHEN n_clusters < 2 OR silhouette < 0 OR noise_fraction > 0.20 OR max_fraction > 0.85 OR imbalance > 0.90 THEN -1 ELSE 0.45 * (silhouette + 1) / 2 + 0.25 * stability + CASE WHEN isinf(davies_bouldin) THEN 0 ELSE 0.25 / (1 + davies_bouldin) END - 0.05 * imbalance END, 5) + 0.0 AS objective FROM c")
 def search_objective(spark, sf):
-    c = candidates(spark, sf)
-    ok = 0.45 * (F.col("silhouette") + 1) / 2 + 0.25 * F.col("stability") + F.lit(0.25) / (1 + F.col("davies_bouldin")) - 0.05 * F.col("imbalance")
-    return c.select("id", (F.round(F.when((F.col("silhouette") < 0) | (F.col("n_clusters") < 2), -1.0).otherwise(ok), 5) + 0.0).alias("objective"))
+    return spark.createDataFrame([(c.params["id"], _rounded(C.search_objective(c.metrics, bool(c.reasons)), 5)) for c in candidates(spark, sf)], "id int, objective double")
+
+
+@register("model_summary", f"WITH {CANDIDATES}, {NORM} SELECT 'id=' || id AS params, n_clusters::INT AS n_clusters, round(silhouette, 6) AS silhouette, round({INTERNAL}, 5) + 0.0 AS internal FROM n")
+def model_summary(spark, sf):
+    found = passing(spark, sf)
+    C.internal_scores(found)
+    return C.summary(spark, found).select("params", "n_clusters", F.round("silhouette", 6).alias("silhouette"), (F.round("internal", 5) + 0.0).alias("internal"))
+
+
+@register("size_limits", """WITH n AS (SELECT p_partkey AS n FROM part UNION ALL SELECT p_partkey * 20 FROM part UNION ALL SELECT p_partkey * 400 FROM part), t AS (SELECT n, CASE WHEN n <= 2000 THEN 'standard' WHEN n <= 10000 THEN 'large' WHEN n <= 25000 THEN 'very_large' ELSE 'ultra_large' END AS tier FROM n),
+  k AS (SELECT n, tier, CASE WHEN n <= 100 THEN greatest(2, least(10, n // 3)) WHEN n <= 1000 THEN greatest(2, floor(sqrt(n))::BIGINT) ELSE greatest(2, least(floor(sqrt(n))::BIGINT, n // 15)) END AS k FROM t)
+  SELECT n, tier, least(k, CASE tier WHEN 'large' THEN 60 WHEN 'very_large' THEN 80 WHEN 'ultra_large' THEN 100 ELSE k END)::INT AS k_max FROM k""")
+def size_limits(spark, sf):
+    """The tier and the largest number of clusters for tables of many sizes."""
+    from .registry import table
+
+    keys = [r[0] for r in table(spark, sf, "part").select("p_partkey").collect()]
+    return spark.createDataFrame([(n, C.tier(n), C.k_max(n)) for by in (1, 20, 400) for n in (k * by for k in keys)], "n long, tier string, k_max int")
 
 
 LABEL = "(silhouette < 0.10)::INT + (stability < 0.40)::INT + (noise_fraction > 0.30)::INT + (imbalance > 0.40)::INT + (final < 0.35)::INT"
@@ -134,43 +166,41 @@ LABEL = "(silhouette < 0.10)::INT + (stability < 0.40)::INT + (noise_fraction >
 
 @register("quality_labels", f"WITH {CANDIDATES}, f AS (SELECT *, stability / 2 + silhouette / 2 AS final FROM c) SELECT id, CASE WHEN {LABEL} = 0 AND silhouette >= 0.25 AND stability >= 0.80 AND noise_fraction <= 0.10 AND imbalance <= 0.30 AND final >= 0.60 THEN 'GOOD' WHEN {LABEL} <= 1 THEN 'ACCEPTABLE' WHEN {LABEL} = 2 THEN 'POOR' ELSE 'UNRELIABLE' END AS label FROM f")
 def quality_labels(spark, sf):
-    rows = candidates(spark, sf).orderBy("id").collect()
-    return spark.createDataFrame([(r.id, C.quality_label(r.asDict(), r.stability / 2 + r.silhouette / 2)) for r in rows], "id int, label string")
+    rows = [(c.params["id"], C.quality_label(c.metrics, c.metrics["stability"] / 2 + c.metrics["silhouette"] / 2)) for c in candidates(spark, sf)]
+    return spark.createDataFrame(rows, "id int, label string")
 
 
 @register("kmeans_sweep")
 def kmeans_sweep(spark, sf):
-    """Candidates of k-means with their metrics, stability and scores."""
-    f = features(spark, sf).drop("label").where("row_id < 500")
-    found = C.sweep(f, [2, 4, 6], "kmeans", lambda x, k, seed: C.fit_kmeans(x, k, 1, 40, seed), 1, 300, 1)
-    rows = [(c.family, c.params["k"], c.metrics.get("silhouette"), c.metrics.get("stability"), c.internal, ",".join(c.reasons)) for c in found]
-    return spark.createDataFrame(rows, "family string, k int, silhouette double, stability double, internal double, reasons string")
+    """Candidates of k-means over the whole table, as the workflow fits them, with their metrics, stability and scores."""
+    from ..config import ClusterOptions
+    from .workflows import natural_model as run
+
+    found, _, _ = run(features(spark, sf), ClusterOptions(families=("kmeans",)))
+    return C.summary(spark, found).withColumn("sizes", F.array_join("sizes", ","))
 
 
 @register("mixture_bic")
 def mixture_bic(spark, sf):
-    """BIC of Gaussian mixtures with diagonal covariance over the first dimensions."""
-    f = features(spark, sf).select("row_id", F.slice("features", 1, 4).alias("features"))
-    return spark.createDataFrame([(kind, k, bic) for kind, k, bic in C.mixture_shortlist(f, [2, 3], ["diag", "tied"], 2)], "kind string, k int, bic double")
+    """BIC of Gaussian mixtures of the whole table by distributed passes."""
+    f = features(spark, sf)
+    return spark.createDataFrame([("diag", k, C.gaussian_mixture(f, k, "diag")[1]) for k in (2, 3)], "kind string, k int, bic double")
 
 
 @register("density_clusters")
 def density_clusters(spark, sf):
-    """Hierarchical density clusters of the first dimensions, with their validity."""
+    """Hierarchical density clusters of the whole table, with their validity."""
     from ..operators import density
 
-    f = features(spark, sf).where("row_id < 500").select("row_id", F.slice("features", 1, 3).alias("features"))
-    out = density.fit_density(f, 10, 5)
+    out = density.fit_density(features(spark, sf), 10, 5)
     return out.groupBy("label").agg(F.count("*").alias("size")).withColumn("validity", F.lit(density.validity(out)))
 
 
 @register("natural_model")
 def natural_model(spark, sf):
-    """Two families on a few rows: candidates with their scores."""
+    """All families over the whole table: candidates with their scores."""
     from ..config import ClusterOptions
     from .workflows import natural_model as run
 
-    f = features(spark, sf).where("row_id < 40").select("row_id", F.slice("features", 1, 3).alias("features"))
-    found, quality, _ = run(f, ClusterOptions(max_clusters=3, families=("kmeans", "density")))
-    rows = [(c.family, str(c.params), c.metrics.get("silhouette"), c.metrics.get("stability"), c.internal, c.final, ",".join(c.reasons), quality) for c in found]
-    return spark.createDataFrame(rows, "family string, params string, silhouette double, stability double, internal double, final double, reasons string, quality string")
+    found, quality, _ = run(features(spark, sf), ClusterOptions())
+    return C.summary(spark, found).withColumn("sizes", F.array_join("sizes", ",")).withColumn("quality", F.lit(quality))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as S
-from ..operators import encode, hygiene, stats
+from ..operators import acquisition, encode, hygiene, stats
+from ..sources.files import with_row_id
 from .registry import register, table
 
 #: Customers as a labeling table: some have a target, some a batch.
@@ -210,16 +211,20 @@ def correlated_columns(spark, sf):
     return spark.createDataFrame([(c,) for c in stats.correlated_columns(wide(spark, sf), NUMERIC)], "removed string")
 
 
-@register("clean_columns")
+@register("clean_columns", f"""{LONG}{MODAL}{ROBUST}, k AS (SELECT *, CASE WHEN n_distinct <= 2 THEN 1 - top_share ELSE rel END AS score FROM modal JOIN robust USING (descriptor)),
+  v AS (SELECT descriptor, CASE WHEN (SELECT avg((value IS NULL)::INT) FROM u WHERE u.descriptor = k.descriptor) > 0.30 THEN 'missing' WHEN n_distinct <= 1 THEN 'constant' WHEN top_share >= 0.98 THEN 'near_constant' WHEN descriptor = 'tax_copy' THEN 'duplicate'
+    WHEN n_distinct <= 2 AND score < 0.05 THEN 'low_variance' WHEN n_distinct > 2 AND (iqr < 1e-6 OR score < 0.02) THEN 'low_variance' ELSE 'kept' END AS verdict, score FROM k),
+  c AS (SELECT abs(corr(price, price2)) AS r FROM w)
+  SELECT descriptor, CASE WHEN verdict = 'kept' AND (SELECT r FROM c) >= 0.95 AND descriptor = (SELECT CASE WHEN a.score < b.score - 1e-9 THEN 'price' ELSE 'price2' END FROM v a, v b WHERE a.descriptor = 'price' AND b.descriptor = 'price2') THEN 'correlated' ELSE verdict END AS verdict FROM v""")
 def clean_columns(spark, sf):
     """The whole cleaning, in its order: what stays, and why the rest goes."""
-    _, kept, why = stats.clean_columns(wide(spark, sf), WIDE_COLUMNS)
-    return spark.createDataFrame([(c, why.get(c, "kept")) for c in WIDE_COLUMNS], "descriptor string, verdict string").where(F.lit(len(kept) >= 2))
+    _, _, why = stats.clean_columns(wide(spark, sf), WIDE_COLUMNS)
+    return spark.createDataFrame([(c, why.get(c, "kept")) for c in WIDE_COLUMNS], "descriptor string, verdict string")
 
 
 @register("all_equal_guard", "SELECT count(DISTINCT l_linenumber) = 1 AS stop FROM lineitem")
 def all_equal_guard(spark, sf):
-    return table(spark, sf, "lineitem").agg((F.count_distinct("l_linenumber") == 1).alias("stop"))
+    return acquisition.all_equal(table(spark, sf, "lineitem"), "l_linenumber")
 
 
 @register("one_hot", "SELECT c_custkey, " + ", ".join(f"CASE WHEN c_mktsegment = '{s}' THEN 1.0 ELSE 0.0 END AS \"c_mktsegment_{s}\"" for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + " FROM customer")
@@ -268,14 +273,19 @@ def except_ids(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")).exceptAll(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k")).distinct())
 
 
+def _placed(df: DataFrame, name: str = "place") -> DataFrame:
+    """Rows numbered from 1 in the order that they have."""
+    return with_row_id(df, None, name).withColumn(name, F.col(name) + 1)
+
+
 @register("sort_batch_last", f"SELECT row_id, batch, row_number() OVER (ORDER BY batch DESC NULLS LAST, row_id) AS place FROM ({AL})")
 def sort_batch_last(spark, sf):
-    return al_table(spark, sf).select("row_id", "batch", F.row_number().over(Window.orderBy(F.desc_nulls_last("batch"), "row_id")).cast("long").alias("place"))
+    return _placed(hygiene.sort_by_batch(al_table(spark, sf).select("row_id", "batch"), "row_id", latest_first=True))
 
 
 @register("sort_batch_first", f"SELECT row_id, batch, row_number() OVER (ORDER BY batch NULLS LAST, row_id) AS place FROM ({AL})")
 def sort_batch_first(spark, sf):
-    return al_table(spark, sf).select("row_id", "batch", F.row_number().over(Window.orderBy(F.asc_nulls_last("batch"), "row_id")).cast("long").alias("place"))
+    return _placed(hygiene.sort_by_batch(al_table(spark, sf).select("row_id", "batch"), "row_id"))
 
 
 @register("argmin_argmax", "SELECT o_custkey, arg_min(o_orderkey, o_totalprice) AS cheapest, arg_max(o_orderkey, o_totalprice) AS dearest FROM orders GROUP BY 1")
@@ -286,7 +296,7 @@ def argmin_argmax(spark, sf):
 
 @register("cumulative_rank", f"SELECT row_id, row_number() OVER (ORDER BY row_id) AS rank FROM ({AL}) WHERE batch = 0")
 def cumulative_rank(spark, sf):
-    return hygiene.seed_set(al_table(spark, sf)).select("row_id", F.row_number().over(Window.orderBy("row_id")).cast("long").alias("rank"))
+    return with_row_id(hygiene.seed_set(al_table(spark, sf)).select("row_id"), ["row_id"], "rank").withColumn("rank", F.col("rank") + 1)
 
 
 @register("base_names", "SELECT n_nationkey, CASE WHEN regexp_matches(f, '^.*_b[0-9]+$') THEN regexp_extract(f, '^(.*)_b([0-9]+)$', 1) ELSE f END AS base FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) || '_b' || n_nationkey ELSE lower(n_name) END AS f FROM nation)")
@@ -326,8 +336,8 @@ def point_counts(spark, sf):
     return count(t, ["model"])
 
 
-@register("viewer_payload", "SELECT region, count(*) AS n, to_json(list({'id': s_suppkey, 'x': s_acctbal} ORDER BY s_suppkey)) AS points FROM (SELECT *, s_nationkey % 5 AS region FROM supplier) GROUP BY 1")
-def viewer_payload(spark, sf):
+@register("json_lists", "SELECT region, count(*) AS n, to_json(list({'id': s_suppkey, 'x': s_acctbal} ORDER BY s_suppkey)) AS points FROM (SELECT *, s_nationkey % 5 AS region FROM supplier) GROUP BY 1")
+def json_lists(spark, sf):
     t = table(spark, sf, "supplier").withColumn("region", F.col("s_nationkey") % 5)
     p = F.sort_array(F.collect_list(F.struct(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("x"))))
     return t.groupBy("region").agg(F.count("*").alias("n"), F.to_json(p).alias("points"))
@@ -342,3 +352,16 @@ def batch_directories(spark, sf):
     path = f"{Scratch(spark, 'batches').root}/customers"
     write_batches(table(spark, sf, "customer").withColumn("batch", (F.col("c_custkey") % 4).cast("int")), path)
     return scan_batches(spark, path).groupBy(F.col("batch").cast("long").alias("batch")).agg(F.count("*").alias("n"))
+
+
+@register("batch_file", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
+def batch_file(spark, sf):
+    """A CSV that lies in a batch folder, found by its name and scanned."""
+    from ..session import Scratch
+    from ..sources.files import find_batch_file, read_csv, write_csv
+
+    root = Scratch(spark, "found").root
+    df = table(spark, sf, "nation")
+    for k in (10, 2):
+        write_csv(df if k == 2 else df.limit(0), f"{root}/batch_{k}/nation.csv")
+    return read_csv(spark, find_batch_file(spark, root, "nation.csv"), schema=df.schema).groupBy("n_regionkey").agg(F.count("*").alias("n"))

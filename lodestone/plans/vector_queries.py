@@ -81,7 +81,13 @@ def natural_select(spark, sf):
     return V.natural_select(features(spark, sf), 25)
 
 
-@register("group_allocation")
+def _allocation(n: int) -> str:
+    """Largest remainders in SQL: floors of one at least, then the rest to the largest remainders, as long as no group is full and none was raised."""
+    return f"""WITH s AS (SELECT label, count(*) AS size FROM embeddings GROUP BY 1), q AS (SELECT label, size, {n}::DOUBLE * size / (SELECT sum(size) FROM s) AS quota FROM s), f AS (SELECT *, greatest(1, floor(quota))::INT AS share FROM q),
+  r AS (SELECT *, row_number() OVER (ORDER BY quota - share DESC, size DESC, label) AS place FROM f) SELECT label, (share + CASE WHEN place <= {n} - (SELECT sum(share) FROM f) THEN 1 ELSE 0 END)::INT AS share FROM r"""
+
+
+@register("group_allocation", _allocation(37))
 def group_allocation(spark, sf):
     sizes = {r[0]: r[1] for r in features(spark, sf).groupBy("label").count().collect()}
     return spark.createDataFrame(sorted(V.allocate(37, sizes).items()), "label int, share int")
@@ -131,10 +137,35 @@ def coverage_2d(spark, sf):
 @register("evaluate_selection")
 def evaluate_selection(spark, sf):
     """Metrics of rows that were chosen before, without a new choice."""
+    from .workflows import evaluate_selection as evaluate
+
     f = features(spark, sf)
-    gap = V.average_gap(f, f.where("row_id % 10 = 0"))
     xy, explained = encode.map_2d(f)
-    return V.coverage_2d(xy.select("row_id", "x", "y"), xy.where("row_id % 10 = 0")).crossJoin(gap).withColumn("map_quality", F.lit(encode.visual_quality(explained)))
+    return evaluate(f, xy.select("row_id", "x", "y"), f.where("row_id % 10 = 0").select("row_id"), explained)[0]
+
+
+@register("map_cells", f"""WITH {HULL}, n AS (SELECT count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM f), k AS (SELECT count(*) AS k FROM s), g AS (SELECT *, least(30, greatest(6, round_even(sqrt(k) + 0.15 * sqrt(n), 0)))::INT AS g FROM n, k), es AS {_edges('s')},
+  c AS (SELECT row_id, NOT EXISTS (SELECT 1 FROM es WHERE (bx - ax) * (f.y - ay) - ("by" - ay) * (f.x - ax) < -1e-12) AS inside, least(greatest(floor((x - (x0 - 0.001 * (x1 - x0))) / (1.002 * (x1 - x0) / g)), 0), g - 1)::INT AS i, least(greatest(floor((y - (y0 - 0.001 * (y1 - y0))) / (1.002 * (y1 - y0) / g)), 0), g - 1)::INT AS j FROM f, g)
+  SELECT i, j, count(*) AS n, bool_or(row_id % 10 = 0) AS selected, bool_or(inside) AS inside FROM c GROUP BY 1, 2""")
+def map_cells(spark, sf):
+    f = flat(spark, sf)
+    return V.map_cells(f, f.where("row_id % 10 = 0")).cells
+
+
+#: Importance of the first dimensions over the regions of NEAREST: names, and the best five.
+TOP = """u AS (SELECT row_id, 'd' || p AS descriptor, v FROM (SELECT row_id, unnest(range(1, 9)) AS p, unnest(f[1:8]) AS v FROM e)), ug AS (SELECT descriptor, region, count(*) AS n, avg(v) AS m, var_pop(v) AS s FROM u JOIN n USING (row_id) GROUP BY ALL),
+  ut AS (SELECT descriptor, sum(n * m) / sum(n) AS mean, sum(n) AS n, count(*) AS k, sum(n * s) AS ssw FROM ug GROUP BY 1), ub AS (SELECT descriptor, sum(ug.n * pow(m - mean, 2)) AS ssb FROM ug JOIN ut USING (descriptor) GROUP BY 1),
+  top AS (SELECT descriptor FROM ut JOIN ub USING (descriptor) ORDER BY (ssb / (k - 1)) / (ssw / (n - k)) DESC, ssb / (ssb + ssw) DESC, descriptor LIMIT 5)"""
+
+
+@register("viewer_payload", f"WITH {NEAREST}, {TOP} SELECT u.row_id, round(e.f[1], 6) AS x, round(e.f[2], 6) AS y, region, u.row_id % 50 = 0 AS selected, descriptor, round(v, 6) AS value FROM u JOIN top USING (descriptor) JOIN n USING (row_id) JOIN e USING (row_id)")
+def viewer_payload(spark, sf):
+    """A map's payload over a selection, its five best descriptors one a row."""
+    f = features(spark, sf)
+    chosen, names = f.where("row_id % 50 = 0"), [f"d{i}" for i in range(1, 9)]
+    wide = f.select("row_id", *[F.col("features")[i].alias(n) for i, n in enumerate(names)])
+    payload = V.viewer_payload(flat(spark, sf), V.nearest(f, chosen), chosen, wide, names)
+    return payload.select("row_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "region", "selected", F.explode("colours").alias("descriptor", "value")).withColumn("value", F.round("value", 6))
 
 
 @register("pca_safeguard")
@@ -148,12 +179,12 @@ def map_2d(spark, sf):
     return encode.map_2d(features(spark, sf))[0].select("row_id", "x", "y")
 
 
-@register("trustworthiness", f"""WITH e AS (SELECT vec_id AS row_id, embedding::DOUBLE[] AS f, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings WHERE vec_id < 200),
+@register("trustworthiness", f"""WITH e AS (SELECT vec_id AS row_id, embedding::DOUBLE[] AS f, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
   p AS (SELECT a.row_id AS a, b.row_id AS b, round(list_sum(list_transform(range(1, 65), lambda i: (a.f[i] - b.f[i]) * (a.f[i] - b.f[i]))), 12) AS d, pow(a.x - b.x, 2) + pow(a.y - b.y, 2) AS e FROM e a, e b WHERE a.row_id <> b.row_id),
   r AS (SELECT row_number() OVER (PARTITION BY a ORDER BY d, b) AS far, row_number() OVER (PARTITION BY a ORDER BY e, b) AS near FROM p)
-  SELECT round(1 - 2.0 / (200 * 15 * (2 * 200 - 3 * 15 - 1)) * sum(CASE WHEN near <= 15 AND far > 15 THEN far - 15 ELSE 0 END), 6) AS trustworthiness FROM r""")
+  SELECT round(1 - 2.0 / ((SELECT count(*) FROM e) * 15 * (2 * (SELECT count(*) FROM e) - 3 * 15 - 1)) * sum(CASE WHEN near <= 15 AND far > 15 THEN far - 15 ELSE 0 END), 6) AS trustworthiness FROM r""")
 def trustworthiness(spark, sf):
-    f = features(spark, sf).where("row_id < 200")
+    f = features(spark, sf)
     f = f.withColumns({"x": F.col("features")[0], "y": F.col("features")[1]})
     return V.trustworthiness(f).withColumn("trustworthiness", F.round("trustworthiness", 6))
 

@@ -12,7 +12,7 @@ from .registry import register, table
 
 def parts(spark, sf):
     p = table(spark, sf, "part")
-    return p.select(F.col("p_partkey").alias("row_id"), "p_size", "p_retailprice", (F.length("p_name") * 1.0).alias("name_length"), (F.pmod(F.xxhash64("p_type"), F.lit(97)) * 1.0).alias("kind"), F.substring("p_brand", 1, 7).alias("maker")).where("p_partkey <= 400")
+    return p.select(F.col("p_partkey").alias("row_id"), "p_size", "p_retailprice", (F.length("p_name") * 1.0).alias("name_length"), (F.pmod(F.xxhash64("p_type"), F.lit(97)) * 1.0).alias("kind"), F.substring("p_brand", 1, 7).alias("maker"))
 
 
 @register("cluster_representative")
@@ -28,10 +28,16 @@ def cluster_exploratory(spark, sf):
 
 @register("cluster_auto")
 def cluster_auto(spark, sf):
-    s = workflows.cluster(parts(spark, sf).where("row_id <= 60"), "row_id", ClusterOptions(max_points=6, ignore=("maker",)))
+    s = workflows.cluster(parts(spark, sf), "row_id", ClusterOptions(max_points=60, ignore=("maker",)))
     return spark.createDataFrame([(b.size, b.gap, b.area) for b in s.budgets], "size int, gap double, area double")
 
 
+@register("cluster_natural")
+def cluster_natural(spark, sf):
+    s = workflows.cluster(parts(spark, sf), "row_id", ClusterOptions(n_points=10, mode="natural", families=("kmeans",), max_clusters=12, ignore=("maker",)))
+    return s.summary.withColumn("sizes", F.array_join("sizes", ",")).withColumn("quality", F.lit(s.quality)).withColumn("selected", F.lit(s.selected.count()))
+
+
 @register("learning_round")
 def learning_round(spark, sf):
     c = table(spark, sf, "customer")

@@ -47,12 +47,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only if unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a local master has a temporary one, and a
+    cluster is an error: a folder of one machine isn't shared."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodestone-shared-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 

@@ -44,7 +44,7 @@ def test_query_against_sql(spark, sf, duck, name):
     assert text_rows(got) == text_rows(want)
 
 
-@pytest.mark.parametrize("name", ["clean_columns", "quartile_diversity", "quartile_exploration", "representative_select", "exploratory_select", "natural_select", "group_allocation", "evaluate_selection", "pca_safeguard", "map_2d", "budget_grid", "mixture_bic", "density_clusters", "natural_model", "cluster_representative", "learning_round"])
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES) - {"quartile_diversity", "quartile_exploration", "pca_safeguard", "budget_grid", "cluster_auto", "cluster_exploratory"}))
 def test_query_without_sql_runs(spark, sf, name):
     assert registry.QUERIES[name](spark, sf).count() > 0
 
@@ -105,18 +105,33 @@ def test_column_hygiene(spark):
         stats.clean_columns(abc, ["a", "b", "c"])
 
 
-def test_quantiles_by_brackets_are_exact(spark, monkeypatch):
+def test_quantiles_by_brackets_are_exact(spark):
     r = np.random.default_rng(5)
     x = {"a": r.normal(size=3000), "b": r.integers(0, 3, 3000).astype(float), "c": r.exponential(size=3000), "d": np.full(3000, 7.0)}
     x["c"][::4] = np.nan
     df = files.nan_to_null(spark.createDataFrame(pd.DataFrame(x)))
-    got = stats.quantiles(df.withColumn("e", F.lit(None).cast("double")), [*x, "e"], (0.0, 0.25, 0.5, 0.75, 1.0), accuracy=200)
+    got, _ = stats.quantiles(df.withColumn("e", F.lit(None).cast("double")), [*x, "e"], (0.0, 0.25, 0.5, 0.75, 1.0), accuracy=100)
     for c, v in x.items():
         assert np.allclose(got[c], np.nanquantile(v, [0, 0.25, 0.5, 0.75, 1]))
     assert got["e"] == [None] * 5
-    once = sorted(map(tuple, stats.robust_stats(df, list(x)).collect()))
-    monkeypatch.setattr(stats, "ROWS_AT_ONCE", 10)
-    assert all(np.allclose(a[1:], b[1:]) for a, b in zip(once, sorted(map(tuple, stats.robust_stats(df, list(x)).collect()))))
+    for row in stats.robust_stats(df, list(x)).collect():
+        v = x[row.descriptor][~np.isnan(x[row.descriptor])]
+        assert np.allclose([row.sd, row.q1, row.median, row.q3], [v.std(), *np.quantile(v, [0.25, 0.5, 0.75])])
+
+
+def test_correlations_against_numpy(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(400, 4)) + 1e6
+    x[:, 2] = 3 * x[:, 0] + r.normal(size=400)
+    x[r.random((400, 4)) < 0.2] = np.nan
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abcd"))).withColumn("e", F.lit(5.0)).repartition(3)
+    df = files.nan_to_null(df)
+    got = {(q.a, q.b): q.r for q in stats.correlations(df, list("abcde")).collect()}
+    assert len(got) == 10 and all(got[a, "e"] is None for a in "abcd")
+    for i in range(4):
+        for j in range(i):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            assert got["abcd"[j], "abcd"[i]] == pytest.approx(abs(np.corrcoef(x[both, i], x[both, j])[0, 1]))
 
 
 def test_missing_and_duplicate_rows(spark):
@@ -132,8 +147,19 @@ def test_batches(spark):
     df = spark.createDataFrame([("a", 1.0, None), ("b", None, None)], "k string, y double, batch int")
     b = hygiene.bootstrap_batches(df, "y")
     assert sorted((r.k, r.batch) for r in b.collect()) == [("a", 0), ("b", None)] and hygiene.next_batch(b, "y").first()["next_batch"] == 1
+    make = lambda *rows: spark.createDataFrame(rows, df.schema)
     with pytest.raises(hygiene.OrphanTarget):
-        hygiene.bootstrap_batches(spark.createDataFrame([("a", 1.0, None), ("b", None, 1)], df.schema), "y")
+        hygiene.bootstrap_batches(make(("a", 1.0, None), ("b", 2.0, 1)), "y")
+    with pytest.raises(hygiene.IncompleteBatch):
+        hygiene.bootstrap_batches(make(("a", 1.0, 1), ("b", None, 1)), "y")
+    with pytest.raises(hygiene.NoTargets):
+        hygiene.bootstrap_batches(make(("a", None, None)), "y")
+    mixed = make(("c", 1.0, 1), ("a", 1.0, None), ("b", 1.0, 0), ("d", 1.0, 1))
+    assert "".join(r.k for r in hygiene.sort_by_batch(mixed, "k").collect()) == "bcda"
+    assert "".join(r.k for r in hygiene.sort_by_batch(mixed, "k", latest_first=True).collect()) == "cdba"
+    with pytest.raises(hygiene.RowCountMismatch):
+        hygiene.attach(df, df.limit(1), "k", guard=True)
+    assert {e.code for e in vars(hygiene).values() if isinstance(e, type) and issubclass(e, hygiene.TableError)} == set(range(1, 21))
 
 
 def test_encoding(spark):
@@ -143,7 +169,9 @@ def test_encoding(spark):
     assert sorted(map(tuple, encode.ordinal(df, "c").collect())) == [(1, 1.0), (2, 0.0), (3, -1.0)]
 
 
-def test_knn_imputation_against_brute_force(spark):
+@pytest.mark.parametrize("block", [1024, 4])
+def test_knn_imputation_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(encode, "BLOCK", block)
     r = np.random.default_rng(0)
     x = r.normal(size=(40, 3))
     x[r.random((40, 3)) < 0.15] = np.nan
@@ -188,6 +216,20 @@ def test_selection(spark):
     assert order[0] == 0 and set(order[1:]) == {3, 5}
 
 
+def test_large_groups_are_traversed_as_small_ones_are(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(r.integers(0, 40, (90, 2)).astype(float))], "row_id long, features array<double>, label int")
+    once = sorted(map(tuple, V.natural_select(df, 14).collect()))
+    monkeypatch.setattr(V, "GROUP_ROWS", 10)
+    assert sorted(map(tuple, V.natural_select(df, 14).collect())) == once and len(once) == 14
+
+
+def test_natural_selection_is_topped_up(spark):
+    f = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(12)], "row_id long, features array<double>")
+    labels = f.where("row_id < 4").withColumn("label", F.lit(0))
+    assert len({r.row_id for r in workflows.select_natural(f, labels, 7, 0).collect()}) == 7
+
+
 def test_nearest_in_blocks(spark, monkeypatch):
     r = np.random.default_rng(3)
     x = r.normal(size=(200, 5))
@@ -224,6 +266,8 @@ def test_components_against_numpy(spark):
 def test_rules():
     assert (C.tier(100), C.tier(5000)) == ("standard", "large")
     assert C.k_max(80) == 10 and C.k_max(400, 12) == 12
+    assert search.search_budget(30) == (7, 8) and search.search_budget(200) == (15, 15) and search.search_budget(3) == (1, 2) and search.search_budget(1) == (1, 0)
+    assert search.search_budget(60, grid=9, radius=3, fraction=0.08, most=16) == (8, 8)
     assert C.normalize([5, 5]) == [1, 1] and C.normalize([3, math.inf], True)[0] == 1.0 and C.normalize([None]) == [0]
     m = {"silhouette": 0.3, "stability": 0.85, "noise_fraction": 0.02, "imbalance": 0.1}
     assert C.quality_label(None) == "UNAVAILABLE" and C.quality_label(m, 0.8) == "GOOD"
@@ -243,6 +287,54 @@ def test_three_blobs_are_found(spark):
     assert bic < C.gaussian_mixture(f, 2, "tied")[1]
 
 
+def test_local_metrics_are_those_of_the_distributed_ones(spark):
+    from lodestone.operators import fits
+
+    r = np.random.default_rng(3)
+    x, y = r.normal(size=(60, 3)), r.integers(-1, 4, 60)
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y))], "row_id long, features array<double>, label int")
+    got, want = fits.measure(x, y), C.evaluate(df)
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+    z = r.integers(0, 3, 60)
+    assert fits.rand_index(y, z) == pytest.approx(stats.ari_scalar(y.tolist(), z.tolist()))
+    assert C.filter_reasons(fits.measure(x, np.zeros(60, int)))[0] == "too_few_clusters"
+
+
+def test_local_fits_find_planted_groups(spark):
+    from lodestone.operators import fits
+
+    r = np.random.default_rng(1)
+    centres = np.array([[0, 0], [9, 0], [0, 9], [9, 9], [20, 0], [0, 20], [20, 20]])
+    y = np.arange(140) % 7
+    x = centres[y] + r.normal(size=(140, 2)) * [1.0, 0.3]
+    assert fits.rand_index(fits.kmeans(x, 7, 20, 300, 0), y) > 0.97
+    for kind in ("full", "diag", "tied"):
+        label, bic = fits.mixture(x, 7, kind, 5, 300, 0)
+        assert fits.rand_index(label, y) > 0.97 and bic < fits.mixture(x, 4, kind, 5, 300, 0)[1]
+    f = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(x)], "row_id long, features array<double>")
+    found, quality, labels = workflows.natural_model(f, ClusterOptions())
+    kinds = {c.params["covariance"] for c in found if c.family == "gmm"}
+    assert kinds == {"full", "diag", "tied"} and max(c.params["k"] for c in found if c.family == "kmeans") == 11
+    assert fits.rand_index(np.array([q.label for q in labels.orderBy("row_id").collect()]), y) > 0.97 and quality in {"GOOD", "ACCEPTABLE"}
+    table = C.summary(spark, found)
+    assert table.count() == len(found) and table.where("passed and internal is null").count() == 0
+    two = spark.createDataFrame([(i, [float(i // 2), 0.0]) for i in range(6)], "row_id long, features array<double>")
+    bad = C.evaluate_local(fits.Local(two), [C.Candidate("kmeans", {"k": 9, "n_init": 1, "max_iter": 5})], None, 0)[0]
+    assert bad.reasons[0].startswith("failed") and bad.internal is None
+
+
+def test_larger_tables_refine_the_best_and_score_all(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    x = np.concatenate([r.normal(c, 0.3, (30, 2)) for c in (0, 4, 9, 20)])
+    f = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, features array<double>")
+    for tier, stable in (("large", 3), ("ultra_large", 1)):
+        monkeypatch.setattr(C, "tier", lambda n, tier=tier: tier)
+        found, _, labels = workflows.natural_model(f, ClusterOptions(max_clusters=6, families=("kmeans",)))
+        ok = [c for c in found if not c.reasons]
+        assert len(ok) > stable and all(c.internal is not None for c in ok) and sum("stability" in c.metrics for c in ok) == stable
+        assert labels.select("label").distinct().count() == 4
+
+
 def test_density_clusters():
     from lodestone.operators import density
 
@@ -266,7 +358,7 @@ def test_density_clusters():
 
 
 def test_integer_search_finds_the_top():
-    assert search.IntegerSearch(lambda k: -((k - 37) ** 2), 2, 60).run() in range(35, 40)
+    assert search.IntegerSearch(lambda ks: [-((k - 37) ** 2) for k in ks], 2, 60).run() in range(35, 40)
 
 
 def test_budget_grids():
@@ -288,6 +380,16 @@ def test_cluster_workflow(spark):
         assert s.table.where("batch = 0").count() == 5 and s.table.columns[-1] == "batch" and s.regions.count() == 30
     with pytest.raises(hygiene.TableError):
         workflows.cluster(s.table, "row_id", ClusterOptions(n_points=5))
+    assert s.payload.count() == 30 and len(s.payload.first().colours) == min(5, s.importance.count()) and {r.descriptor for r in s.importance.collect()} <= {"x", "y", "z", "kind_a", "kind_b"}
+    assert s.cells.cells.agg(F.sum("n")).first()[0] == 30 and s.coverage.first().verdict in {"broad", "moderate", "limited"}
+    with pytest.raises(hygiene.TooManyPoints):
+        workflows.cluster(df, "row_id", ClusterOptions(n_points=31))
+    with pytest.raises(hygiene.UnknownIgnored):
+        workflows.cluster(df, "row_id", ClusterOptions(n_points=3, ignore=("nope",)))
+    extra = workflows.cluster(df, "row_id", ClusterOptions(n_points=3), lambda d: d.select("row_id", (F.col("x") * F.col("x")).alias("x2")))
+    assert "x2" in extra.table.columns
+    with pytest.raises(hygiene.RowCountMismatch):
+        workflows.cluster(df, "row_id", ClusterOptions(n_points=3), lambda d: d.select("row_id", F.lit(1.0).alias("w")).limit(3))
     again = workflows.cluster(s.table, "row_id", ClusterOptions(evaluate=True))
     assert again.selected.count() == 5 and again.coverage.first().avg_gap > 0
 
@@ -296,6 +398,72 @@ def test_learning_round(spark):
     df = spark.createDataFrame([(i, float(i % 7), float(i % 5), float(i % 7 * 2 + i % 5) if i % 4 else None, 0 if i % 4 else None) for i in range(80)], "row_id long, a double, b double, y double, batch int")
     out = workflows.learn(df, "row_id", ["a", "b"], LearnOptions(n_exps=2))
     assert out.number == 1 and out.table.where("batch = 1").count() == 2 and out.ranking.count() == 2 and out.history.count() == 1
+    assert [r.batch for r in out.table.limit(3).collect()] == [1, 1, 0]
+
+
+def test_pool_rows_with_gaps_can_be_chosen(spark):
+    from lodestone.operators import models
+
+    train = spark.createDataFrame([(i, float(i % 7), None if i % 9 == 0 else float(i % 5), float(i % 7)) for i in range(60)], "row_id long, a double, b double, y double")
+    pool = spark.createDataFrame([(100, 3.0, 1.0), (101, None, 2.0), (102, float("nan"), None)], "row_id long, a double, b double")
+    assert sorted(r.row_id for r in models.ensemble(["a", "b"])(train, pool).collect() if r.y_pred is not None) == [100, 101, 102]
+
+
+# Brute force of what SQL can't say
+
+
+def test_quartile_diversity_against_brute_force(spark, sf):
+    from lodestone.plans.active_queries import predictions
+
+    rows = [(r.row_id, r.y_pred, r.y_pred_sd) for r in predictions(spark, sf).collect()]
+    low, high = min(r[1] for r in rows), max(r[1] for r in rows)
+    quarter = lambda v: next((f"q{i}" for i in (1, 2, 3) if v <= low + i * (high - low) / 4), "q4")
+    top, served, want = max(r[2] for r in rows), dict.fromkeys(("q1", "q2", "q3", "q4"), 0), []
+    for _ in range(10):
+        score = lambda r: (r[2] - 0.15 * top * served[quarter(r[1])] / 2.5, r[2], r[1], -r[0])  # noqa: E731, B023
+        best = max((r for r in rows if r[0] not in [w for w, _ in want]), key=score)
+        want.append((best[0], quarter(best[1])))
+        served[quarter(best[1])] += 1
+    assert [(r.row_id, r.quartile) for r in registry.QUERIES["quartile_diversity"](spark, sf).orderBy("place").collect()] == want
+
+
+def test_quartile_exploration_against_brute_force(spark, sf):
+    from lodestone.plans.active_queries import predictions
+
+    rows = [(r.row_id, r.y_pred, r.y_pred_sd) for r in predictions(spark, sf).collect()]
+    x = [r[1] for r in rows if r[0] % 5 == 0]
+    low, high = min(x) - 0.2 * (max(x) - min(x)), max(x) + 0.2 * (max(x) - min(x))
+    low, high = (min((abs(r[1] - e), r[1]) for r in rows)[1] for e in (low, high))
+    step = (high - low) / 4
+    quarter = lambda v: next((f"q{i}" for i in (1, 2, 3) if v < low + i * step), "q4")
+    left, filled, want = [r for r in rows if r[0] % 5], {"q1": 1, "q2": 0, "q3": 0}, []
+    for _ in range(8):
+        q = min(filled, key=lambda k: filled[k])
+        mine = [r for r in left if quarter(r[1]) == q]
+        best = min(mine, key=lambda r: (-r[2], r[0])) if mine else min(left, key=lambda r: (abs(r[1] - (low + (int(q[1]) - 0.5) * step)), r[0]))
+        want.append(best[0])
+        left.remove(best)
+        filled[q] += 1
+    assert [r.row_id for r in registry.QUERIES["quartile_exploration"](spark, sf).orderBy("place").collect()] == want
+
+
+def test_components_of_the_query_against_numpy(spark, sf):
+    import pyarrow.dataset as ds
+
+    x = np.array(ds.dataset(f"{sf}/embeddings.parquet").to_table().column("embedding").to_pylist(), np.float64)
+    s = np.linalg.svd(x - x.mean(0), compute_uv=False) ** 2
+    ratio = s / s.sum()
+    m = min(int(np.searchsorted(np.cumsum(ratio), 0.95 - 1e-12)) + 1, int(0.75 * x.shape[1]))
+    row = registry.QUERIES["pca_safeguard"](spark, sf).first()
+    kept = ratio[:m].sum()
+    assert row.retained == pytest.approx(kept) and row.components == (m if kept >= 0.85 else x.shape[1]) and row.n == len(x)
+
+
+def test_budget_grid_query(spark, sf):
+    n = spark.read.parquet(f"{sf}/customer.parquet").count()
+    top = min(int(5 * math.sqrt(n)), math.ceil(n / 2)) if n < 200 else min(300, max(10, math.ceil(0.1 * n)))
+    got = [r["size"] for r in registry.QUERIES["budget_grid"](spark, sf).orderBy("place").collect()]
+    assert got == list(range(min(20, math.ceil(0.01 * n)), top + 1))
 
 
 def test_command_line(spark, tmp_path):
@@ -317,6 +485,48 @@ def test_options_fall_back():
 # Sources, text, streams
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_row_ids_of_two_million_rows_are_dense_and_in_order(spark, adaptive):
+    from pyspark.sql import Window
+
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        n = 2_000_000
+        df = spark.range(0, n, 1, 8).select(F.xxhash64("id").alias("k"), F.lit("x").alias("__place"))
+        out = files.with_row_id(df, ["k"])
+        assert tuple(out.agg(F.min("row_id"), F.max("row_id"), F.count_distinct("row_id"), F.count("*")).first()) == (0, n - 1, n, n)
+        assert out.withColumn("p", F.lag("k").over(Window.orderBy("row_id"))).where("p >= k").count() == 0
+        assert out.columns == ["k", "__place", "row_id"]
+        plain = files.with_row_id(df)
+        assert tuple(plain.agg(F.min("row_id"), F.max("row_id"), F.count_distinct("row_id")).first()) == (0, n - 1, n)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_no_shared_folder_on_a_cluster_is_an_error():
+    from types import SimpleNamespace as N
+
+    from lodestone import session
+
+    sc = N(master="spark://host:7077", _jsc=N(sc=lambda: N(getCheckpointDir=lambda: N(isEmpty=lambda: True))))
+    with pytest.raises(RuntimeError):
+        session.shared_dir(N(conf=N(get=lambda *_: None), sparkContext=sc))
+
+
+def test_files_by_name(spark, tmp_path):
+    for folder in ("batch_10", "batch_2"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "t.csv").write_text("a\n1\n")
+    assert files.find_batch_file(spark, str(tmp_path), "t.csv").endswith("batch_2/t.csv")
+    (tmp_path / "t.csv").write_text("a\n1\n")
+    assert files.find_batch_file(spark, str(tmp_path), "t.csv").endswith(f"{tmp_path.name}/t.csv")
+    with pytest.raises(FileNotFoundError):
+        files.find_batch_file(spark, str(tmp_path), "u.csv")
+    with pytest.raises(hygiene.UnsupportedFormat):
+        files.read_table(spark, "x.sdf")
+
+
 def test_row_ids_and_nan(spark):
     df = spark.createDataFrame([(float("nan"), "b"), (2.0, "a"), (None, "c")], "v double, k string")
     assert [r.k for r in files.with_row_id(df, ["k"]).orderBy("row_id").collect()] == ["a", "b", "c"]
