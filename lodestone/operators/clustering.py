@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.scalars import distance
 from . import fits
 from .stats import adjusted_rand, size_summary
+from .vectors import all_pairs, squared_distances
 
 #: Errors of a fit that make a rejected candidate; others, such as a lost cluster, end the run.
 FIT_ERRORS = (*fits.FIT_ERRORS, IllegalArgumentException)
@@ -81,13 +82,21 @@ def davies_bouldin(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def silhouette_rows(df: DataFrame, label: str = "label") -> DataFrame:
-    """(row_id, silhouette) by Euclidean distance over all pairs: for a sample; a cluster of one has 0."""
-    d = df.where(F.col(label) != -1)
-    a, b = (d.select(*[F.col(x).alias(f"{p}_{x}") for x in ("row_id", "features", label)]) for p in "ab")
-    means = a.join(b, F.col("a_row_id") != F.col("b_row_id")).groupBy("a_row_id", f"a_{label}", f"b_{label}").agg(F.avg(distance(F.col("a_features"), F.col("b_features"))).alias("d"))
-    mine = F.col(f"a_{label}") == F.col(f"b_{label}")
-    s = means.groupBy("a_row_id").agg(F.max(F.when(mine, F.col("d"))).alias("i"), F.min(F.when(~mine, F.col("d"))).alias("o"))
-    return s.select(F.col("a_row_id").alias("row_id"), F.when(F.col("i").isNull() | F.col("o").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("o") - F.col("i"), F.greatest("o", "i")), F.lit(0.0))).alias("silhouette"))
+    """(row_id, silhouette) by Euclidean distance over all pairs of rows that aren't noise: for a sample; a cluster of one has 0."""
+
+    def rows(a: dict, b: dict) -> dict:
+        d, names = np.sqrt(squared_distances(a["features"], b["features"])), np.unique(b["label"])
+        member = (b["label"][:, None] == names).astype(float)
+        size, of, at = member.sum(0), np.searchsorted(names, a["label"]), np.arange(len(a["label"]))
+        sums = d @ member
+        inner, mean = sums[at, of] / np.maximum(size[of] - 1, 1), sums / size
+        mean[at, of] = np.inf
+        outer = mean.min(1)
+        top = np.maximum(inner, outer)
+        known = (size[of] > 1) & np.isfinite(outer) & (top > 0)
+        return {"row_id": a["row_id"], "silhouette": np.where(known, (outer - inner) / np.where(known, top, 1), 0.0)}
+
+    return all_pairs(df.where(F.col(label) != -1).withColumn("label", F.col(label)), ["features", "label"], rows, "row_id long, silhouette double")
 
 
 def silhouette(df: DataFrame, label: str = "label", sample: int | None = None, seed: int = 0) -> DataFrame:

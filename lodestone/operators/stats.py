@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import ship
 
+#: Rows by which quantiles are bracketed.
+SAMPLE = 20_000
+
 
 def unpivot(df: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFrame:
     """(keep..., descriptor, value) with doubles."""
@@ -27,37 +31,44 @@ def modal_share(df: DataFrame, columns: list[str]) -> DataFrame:
     return counts.groupBy("descriptor").agg(F.sum("c").alias("n"), F.count("*").alias("n_distinct"), (F.max("c") / F.sum("c")).alias("top_share"))
 
 
-def quantiles(df: DataFrame, columns: list[str], probs: tuple[float, ...] = (0.25, 0.5, 0.75), accuracy: int = 1_000) -> tuple[dict[str, list[float | None]], dict[str, float | None]]:
+def quantiles(df: DataFrame, columns: list[str], probs: tuple[float, ...] = (0.25, 0.5, 0.75), sample: int = SAMPLE) -> tuple[dict[str, list[float | None]], dict[str, float | None]]:
     """Exact quantiles with linear interpolation, without gathering a column's values in one place; and population standard deviations.
 
-    A sketch brackets each quantile; the values below the brackets are counted, and only those inside, by distinct
-    value, are put in order. So what is sorted is a few parts in 1,000 of the rows.
+    A sample of about ``sample`` rows brackets each quantile, the rows below and up to the brackets are counted, and only values inside, by distinct
+    value, are put in order: a few hundredths of the rows. A bracket that the counts refute becomes the whole range, so the sample changes no result.
     """
-    margin = 3.0 / accuracy
-    x = {c: F.col(c).cast("double") for c in columns}
-    ends = F.array(*[F.lit(min(1.0, max(0.0, p + d))) for p in probs for d in (-margin, margin)])
-    first = df.agg(*[F.struct(F.count(c).alias("n"), F.percentile_approx(x[c], ends, accuracy).alias("b"), F.min(x[c]).alias("lo"), F.max(x[c]).alias("hi"), F.stddev_pop(x[c]).alias("sd")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    x = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    first = df.agg(*[F.struct(F.count(x[c]).alias("n"), F.min(x[c]).alias("lo"), F.max(x[c]).alias("hi"), F.stddev_pop(x[c]).alias("sd")).alias(f"c{i}") for i, c in enumerate(columns)], F.count(F.lit(1)).alias("rows")).first()
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
+    sds = {c: first[i].sd for i, c in enumerate(columns)}
+    drawn = df.select(*[x[c].alias(f"c{i}") for i, c in enumerate(columns)]).sample(sample / first.rows, seed=7).toPandas() if first.rows > 2 * sample else None
     cells = []  # column, quantile, bracket, the two ranks and the weight of the second
-    for i, c in enumerate(columns):
-        r = first[i]
+    for i in range(len(columns)):
+        r, values = first[i], None if drawn is None else drawn[f"c{i}"].dropna().to_numpy()
         for j, p in enumerate(probs):
             if r.n:
-                at = (r.n - 1) * p
-                few = r.n < 20 * accuracy  # a bracket would be a few ranks wide: all values are put in order
-                low = r.lo if few or p - margin <= 0 else r.b[2 * j]
-                high = r.hi if few or p + margin >= 1 else r.b[2 * j + 1]
-                cells.append((i, j, low, high, math.floor(at), math.ceil(at), at - math.floor(at)))
-    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
-    sds = {c: first[i].sd for i, c in enumerate(columns)}
+                at, low, high = (r.n - 1) * p, r.lo, r.hi
+                if values is not None and len(values) >= 1000:
+                    margin = 2.5 / math.sqrt(len(values))
+                    low, high = (v if 0 < q < 1 else e for q, v, e in zip((p - margin, p + margin), np.quantile(values, np.clip((p - margin, p + margin), 0, 1)), (r.lo, r.hi), strict=True))
+                cells.append([i, j, float(low), float(high), math.floor(at), math.ceil(at), at - math.floor(at)])
     if not cells:
         return out, sds
-    below = df.agg(*[F.count_if(x[columns[i]] < F.lit(low)).alias(f"b{k}") for k, (i, _, low, *_) in enumerate(cells)]).first()
-    inside = F.array(*[F.when(x[columns[i]].between(F.lit(low), F.lit(high)), F.struct(F.lit(k).alias("k"), x[columns[i]].alias("v"))) for k, (i, _, low, high, *_) in enumerate(cells)])
-    counts = df.select(F.explode(F.array_compact(inside)).alias("e")).groupBy("e.k", "e.v").agg(F.count("*").alias("n"))
-    need = lambda what: F.element_at(F.array(*[F.lit(int(v)) for v in what]), F.col("k") + 1)
-    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("k").orderBy("v")))
-    ranked = upto.groupBy("k").agg(*[F.min(F.when(F.col("upto") > need([c[4 + a] - below[k] for k, c in enumerate(cells)]), F.col("v"))).alias(f"v{a}") for a in (0, 1)])
-    for r in ranked.collect():
+    counted = df.agg(*[f for k, (i, _, low, high, *_) in enumerate(cells) for f in (F.count_if(x[columns[i]] < low).alias(f"b{k}"), F.count_if(x[columns[i]] <= high).alias(f"u{k}"))]).first()
+    below = []
+    for k, c in enumerate(cells):
+        fits = counted[2 * k] <= c[4] and counted[2 * k + 1] > c[5]
+        below.append(counted[2 * k] if fits else 0)
+        if not fits:
+            c[2], c[3] = first[c[0]].lo, first[c[0]].hi
+    of = {i: [c for c in cells if c[0] == i] for i in {c[0] for c in cells}}
+    kept = [F.when(reduce(lambda a, b: a | b, [x[columns[i]].between(c[2], c[3]) for c in mine]), F.struct(F.lit(i).alias("i"), x[columns[i]].alias("v"))) for i, mine in of.items()]
+    counts = df.select(F.explode(F.array(*kept)).alias("e")).where("e is not null").groupBy("e.i", "e.v").agg(F.count("*").alias("n"))
+    # One row a quantile: a few dozen, so they may be broadcast.
+    brackets = df.sparkSession.createDataFrame([(k, c[0], c[2], c[3], below[k], c[4], c[5]) for k, c in enumerate(cells)], "k int, i int, low double, high double, below long, r0 long, r1 long")
+    inside = counts.join(F.broadcast(brackets), "i").where(F.col("v").between(F.col("low"), F.col("high")))
+    upto = inside.withColumn("upto", F.col("below") + F.sum("n").over(Window.partitionBy("k").orderBy("v")))
+    for r in upto.groupBy("k").agg(*[F.min(F.when(F.col("upto") > F.col(f"r{a}"), F.col("v"))).alias(f"v{a}") for a in (0, 1)]).collect():
         i, j, *_, part = cells[r.k]
         out[columns[i]][j] = r.v0 if part == 0 else r.v0 + (r.v1 - r.v0) * part
     return out, sds
