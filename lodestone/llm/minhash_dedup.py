@@ -7,14 +7,17 @@ are verified by the share of equal minima (of which 16 bits are kept). Edges are
 components by alternating large-star and small-star.
 
 Hot groups cost no pairs: documents of one signature hang on one of them; in each band's bucket
-all hang on the bucket's smallest id, and only where that pair is refuted are the bucket's
-other pairs looked at, by a search that visits each document once. The components are those
-of all verified candidate pairs.
-
-Defined results: null id: row ignored. Null, empty or wordless text: never a duplicate. Fewer words
-than a phrase: the document is one phrase. Repeated rows of an id: one document (it is kept or
-removed as a whole; which of different texts under one id counts is not defined, none crashes).
-Ties: the smallest doc_id of a group is kept. An empty table gives an empty result.
+all hang on the bucket's smallest node, and only where that pair is refuted are the bucket's
+other pairs looked at, by a search that visits each document once. A bucket of more than ``BLOCK`` documents is searched in
+pairs of blocks, a task each, so that no task holds more than two blocks. The components are those of all verified candidate pairs.
+
+A document is a text under an id: rows that agree in both are one document, and different texts under one id are
+different documents, told apart by text_hash (xxhash64).
+
+Defined results: null id: row ignored (kept by ``keep_one``). Null, empty or wordless text: never a duplicate, kept. Fewer words
+than a phrase: the document is one phrase. Repeated rows of an id and text: one document; ``keep_one`` keeps one row, the one
+whose columns have the smallest hash. Ties: the smallest doc_id of a group is kept, then the smallest text_hash. An empty
+table gives an empty result. Other columns are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,12 +27,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import Scratch, ship
+from ..sources.files import unused
 from . import _words as W
-from ._arrow import fixed_binary, lists, map_texts, select_text
+from ._arrow import fixed_binary, lists, select_text
 
+#: Documents of a bucket that one task searches against each other or against as many others.
+BLOCK = 4096
 SHINGLE, BANDS, ROWS, THRESHOLD = 3, 40, 4, 0.5
 
 
@@ -67,16 +74,26 @@ def signatures(texts: list, shingle: int = SHINGLE, n: int = BANDS * ROWS) -> tu
 
 
 def signature_table(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, sig (16 bits of each minimum), bands (a hash of each band, with its number mixed in)."""
+    """Of (doc_id, text, text_hash): doc_id, text_hash, node (a number of its own), sig (16 bits of each minimum), bands (a hash of each band, with its number mixed in).
 
-    def f(ids: np.ndarray, texts: list) -> dict:
-        at, sig = signatures(texts, shingle, bands * rows)
-        x = np.zeros((len(at), bands), np.uint64)
-        for r in range(rows):
-            x = W.mix(x ^ sig[:, r::rows].astype(np.uint64)) + np.arange(bands, dtype=np.uint64)
-        return {"doc_id": ids[at], "sig": fixed_binary(sig.astype(np.uint16)), "bands": lists(x.view(np.int64).ravel(), np.arange(len(at) + 1) * bands)}
+    Nodes count rows by partition, so the table must be written before it is used twice.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node = TaskContext.get().partitionId() << 33
+        for b in batches:
+            ids, texts, hashes = b.column(0), b.column(1).to_pylist(), b.column(2)
+            for i, j in W.chunks(texts):
+                at, sig = signatures(texts[i:j], shingle, bands * rows)
+                if len(at):
+                    x = np.zeros((len(at), bands), np.uint64)
+                    for r in range(rows):
+                        x = W.mix(x ^ sig[:, r::rows].astype(np.uint64)) + np.arange(bands, dtype=np.uint64)
+                    row = pa.array(i + at)
+                    yield pa.RecordBatch.from_arrays([ids.take(row), hashes.take(row), pa.array(node + np.arange(len(at))), fixed_binary(sig.astype(np.uint16)), lists(x.view(np.int64).ravel(), np.arange(len(at) + 1) * bands)], ["doc_id", "text_hash", "node", "sig", "bands"])
+                    node += len(at)
 
-    return map_texts(docs, f, "doc_id long, sig binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, node long, sig binary, bands array<long>")
 
 
 def _verify(pairs: DataFrame, sigs: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -88,7 +105,7 @@ def _verify(pairs: DataFrame, sigs: DataFrame, n: int, threshold: float) -> Data
             x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(-1, n) for k in ("sa", "sb"))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array((x == y).sum(1) >= need)], ["a", "b", "ok"])
 
-    left, right = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"))
+    left, right = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(f, "a long, b long, ok boolean")
 
 
@@ -97,8 +114,8 @@ def _search(n: int, threshold: float):
     need = int(np.ceil(threshold * n))
 
     def f(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
-        ids, sig = rows["doc_id"].to_numpy(), np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, n)
+        rows = rows.drop_duplicates("node").sort_values("node")
+        ids, sig = rows["node"].to_numpy(), np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, n)
         rest, a, b = np.arange(len(ids)), [], []
         while len(rest):
             todo, rest = [rest[0]], rest[1:]
@@ -139,37 +156,65 @@ def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int =
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, duplicate_of): each document that has a near copy of smaller id, with its group's smallest id."""
+def duplicate_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, duplicate_of) of each document that has a near copy which comes before it, with its group's first; and (doc_id, text_hash) of documents in several rows."""
     spark = df.sparkSession
     ship(spark)
     scratch, n = Scratch(spark, "near"), bands * rows
-    sigs = scratch.save(signature_table(select_text(df, id_col, text_col), shingle, bands, rows), "sigs")
+    docs = select_text(df, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    sigs = scratch.save(signature_table(docs, shingle, bands, rows), "sigs")
     # One document for each signature; the others hang on it.
-    first = sigs.groupBy(F.xxhash64("sig").alias("s1"), F.hash("sig").alias("s2")).agg(F.min(F.struct("doc_id", "sig")).alias("m"), F.collect_set("doc_id").alias("all"), F.first("bands").alias("bands"))
-    first = scratch.save(first.select("m.doc_id", "m.sig", "bands", "all"), "first")
-    same = first.where(F.size("all") > 1).select(F.explode("all").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
-    members = first.select("doc_id", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")).where("size > 1")
-    stars = scratch.save(members.join(buckets, "band").where("doc_id <> least").select("band", F.col("doc_id").alias("a"), F.col("least").alias("b"), "size"), "stars")
+    first = sigs.groupBy(F.xxhash64("sig").alias("s1"), F.hash("sig").alias("s2")).agg(F.min(F.struct("node", "sig")).alias("m"), F.collect_set("node").alias("all"), F.first("bands").alias("bands"))
+    first = scratch.save(first.select("m.node", "m.sig", "bands", "all"), "first")
+    same = first.where(F.size("all") > 1).select(F.explode("all").alias("a"), F.col("node").alias("b")).where("a <> b")
+    members = first.select("node", F.explode("bands").alias("band"))
+    buckets = members.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1")
+    stars = scratch.save(members.join(buckets, "band").where("node <> least").select("band", F.col("node").alias("a"), F.col("least").alias("b"), "size"), "stars")
     tried = scratch.save(_verify(stars.select("a", "b").distinct(), first, n, threshold), "tried")
-    # A bucket of three or more in which the smallest id failed with any: all its documents are searched.
+    # A bucket of three or more in which the smallest node failed with any: all its documents are searched.
     refuted = stars.where("size > 2").join(tried.where("not ok"), ["a", "b"], "left_semi").select("band").distinct()
     again = stars.join(refuted, "band", "left_semi")
-    again = again.select("band", F.col("a").alias("doc_id")).union(again.select("band", F.col("b").alias("doc_id"))).distinct()
+    again = again.select("band", F.col("a").alias("node")).union(again.select("band", F.col("b").alias("node"))).distinct()
     # Buckets of the same documents (the bands of one group) are searched once.
-    keys = again.groupBy("band").agg(F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("k"), F.count("*").alias("c"))
-    one = keys.groupBy("k", "c").agg(F.min("band").alias("band")).select("band")
-    searched = again.join(one, "band", "left_semi").join(first.select("doc_id", "sig"), "doc_id").groupBy("band").applyInPandas(_search(n, threshold), "a long, b long")
+    keys = again.groupBy("band").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("k"), F.count("*").alias("c"))
+    one = keys.groupBy("k", "c").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("c") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    mine = again.join(one, "band").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    paired = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long")))).select("node", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    searched = paired.join(first.select("node", "sig"), "node").groupBy("band", "i", "j").applyInPandas(_search(n, threshold), "a long, b long")
     found = connected_components(same.union(tried.where("ok").select("a", "b")).union(searched), scratch)
-    out = scratch.save(found.select(F.col("node").alias("doc_id"), F.col("root").alias("duplicate_of")), "result")
-    scratch.drop("sigs", "first", "stars", "tried", *[f"cc-{i}" for i in range(61)])
-    return out
+    # Nodes back to documents; in each group the smallest (doc_id, text_hash) stays.
+    group = scratch.save(found.union(found.select("root", "root").distinct()), "group")
+    named = group.join(sigs.select(F.col("node"), F.struct("doc_id", "text_hash").alias("d")), "node")
+    least = named.groupBy("root").agg(F.min("d").alias("least"))
+    out = named.join(least, "root").where("d <> least").select("d.doc_id", "d.text_hash", F.col("least.doc_id").alias("duplicate_of")).distinct()
+    out = scratch.save(out, "result")
+    repeated = scratch.save(sigs.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash"), "repeated")
+    scratch.drop("sigs", "first", "stars", "tried", "group", *[f"cc-{i}" for i in range(61)])
+    return out, repeated
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(doc_id, duplicate_of): each doc_id with a near copy which comes before it, with its group's smallest doc_id; an id of several texts may have several, or its own."""
+    return duplicate_texts(df, id_col, text_col, **options)[0].select("doc_id", "duplicate_of").distinct()
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of df without those whose document has a near copy of smaller id; null ids stay, and of repeated rows of one id one stays."""
-    gone = near_duplicates(df, id_col, text_col, **options).select(F.col("doc_id").alias("__gone"))
-    kept = df.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
-    known = kept.where(F.col(f"`{id_col}`").isNotNull()).dropDuplicates([id_col])
-    return known.unionByName(kept.where(F.col(f"`{id_col}`").isNull()))
+    """The rows of df without those of documents that have a near copy which comes before them, and with one row of each document.
+
+    Texts are shuffled only if the removed documents' keys are too many to be broadcast, and those of documents in several rows.
+    """
+    gone, repeated = duplicate_texts(df, id_col, text_col, **options)
+    key, text_hash = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+
+    def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        a, b = unused("key", rows.columns), unused("hash", rows.columns)
+        keys = keys.select(F.col("doc_id").alias(a), F.col("text_hash").alias(b))
+        return rows.join(keys, (key == F.col(f"`{a}`")) & (text_hash == F.col(f"`{b}`")), how)
+
+    kept = among(df, gone, "left_anti")
+    if not repeated.limit(1).count():
+        return kept
+    place = unused("place", df.columns)
+    w = Window.partitionBy(key, text_hash).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    one = among(kept, repeated, "left_semi").withColumn(place, F.row_number().over(w)).where(F.col(place) == 1).drop(place)
+    return among(kept, repeated, "left_anti").unionByName(one)

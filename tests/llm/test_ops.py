@@ -22,7 +22,7 @@ def prose(n, seed, vocabulary=4000):
 def docs(spark, rows, extra=False):
     df = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], DOCS)
     if extra:
-        for c in ("a", "b", "spans", "end", "sig", "counts", "failed", "shard", "fp", "tokens", "text_hash"):
+        for c in ("a", "b", "spans", "end", "sig", "counts", "failed", "shard", "fp", "tokens", "text_hash", "__gone", "__id", "__hash", "__spans", "__cut", "key", "hash", "place", "node", "band", "language", "threshold", "record", "slot"):
             df = df.withColumn(c, F.lit(1))
     return df
 
@@ -134,11 +134,35 @@ def test_near_duplicates_hot_group_and_odd_rows(spark):
     assert minhash_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_texts_under_one_id_are_told_apart(spark):
+    a, b, c = (prose(60, n) for n in (1, 2, 3))
+    rows = [(5, a), (5, b), (5, b), (3, a + " end"), (8, b), (9, c), (9, c), (9, c), (2, None), (2, None), (None, a), (None, a)]
+    for change in (rows, rows[::-1]):
+        df = docs(spark, change, extra=True)
+        gone, repeated = minhash_dedup.duplicate_texts(df)
+        assert sorted((r.doc_id, r.duplicate_of) for r in gone.collect()) == [(5, 3), (8, 5)]
+        assert sorted((r.doc_id, r.duplicate_of) for r in minhash_dedup.near_duplicates(df).collect()) == [(5, 3), (8, 5)]
+        kept = minhash_dedup.keep_one(df)
+        assert kept.columns == df.columns
+        want = [(3, a + " end"), (5, b), (9, c), (2, None), (2, None), (None, a), (None, a)]
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    differ = df.where("doc_id = 9").withColumn("n_chars", F.monotonically_increasing_id())
+    assert len({minhash_dedup.keep_one(x).first().n_chars for x in (differ, differ.orderBy(F.desc("n_chars")))}) == 1
+
+
+def test_large_buckets_are_searched_in_pairs_of_blocks(spark, monkeypatch):
+    base, r = prose(90, 1).split(), random.Random(3)
+    rows = [(i, " ".join(w if r.random() > 0.13 else f"q{r.randrange(10**6)}" for w in base)) for i in range(120)]
+    want = sorted(map(tuple, minhash_dedup.near_duplicates(docs(spark, rows)).collect()))
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 7)
+    assert sorted(map(tuple, minhash_dedup.near_duplicates(docs(spark, rows)).collect())) == want and want
+
+
 def test_search_within_a_bucket_finds_all_components():
     r = np.random.default_rng(0)
     centres = r.integers(0, 60000, (4, 20)).astype(np.uint16)
     sig = np.concatenate([np.where(r.random((9, 20)) < 0.2, r.integers(0, 60000, (9, 20)), c).astype(np.uint16) for c in centres])
-    pdf = pd.DataFrame({"band": 1, "doc_id": np.arange(len(sig)), "sig": [s.tobytes() for s in sig]})
+    pdf = pd.DataFrame({"band": 1, "node": np.arange(len(sig)), "sig": [s.tobytes() for s in sig]})
     found = minhash_dedup._search(20, 0.5)(pdf)
 
     def components(edges):
