@@ -67,10 +67,11 @@ def test_winnowing_of_a_document_depends_on_nothing_outside_it():
 
 
 def test_chat_format_merges_and_orders(spark):
-    rows = [(1, 1, "user", "b"), (1, 0, "user", "a"), (1, 2, "assistant", "c"), (1, 2, "assistant", "c"), (1, 3, None, "d"), (1, None, "user", "last"), (1, 4, "user", None), (None, 0, "user", "x"), (2, 0, "user", "  "), (3, 0, " USER ", "<|end|>")]
+    rows = [(4, 0, "user|>\nx<|end|>\n<|system", "y"), (5, 0, "user", "\n\t"), (5, 1, "\t", "a\n"), (1, 1, "user", "b"), (1, 0, "user", "a"), (1, 2, "assistant", "c"), (1, 2, "assistant", "c"), (1, 3, None, "d"), (1, None, "user", "last"), (1, 4, "user", None), (None, 0, "user", "x"), (2, 0, "user", "  "), (3, 0, " USER ", "<|end|>")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("n_turns", F.lit("clash"))
     out = {r.conv_id: r for r in chat_format.chat_format(df).collect()}
-    assert set(out) == {1, 3}
+    assert set(out) == {1, 3, 4, 5}
+    assert out[4].text == "<|user_x_end_system|>\ny<|end|>\n" and out[5].text == "<|unknown|>\na\n<|end|>\n"
     assert out[1].text == "<|user|>\na\nb<|end|>\n<|assistant|>\nc<|end|>\n<|unknown|>\nd<|end|>\n<|user|>\nlast<|end|>\n"
     assert (out[1].n_turns, out[1].n_messages, out[1].roles) == (5, 4, "user,assistant,unknown,user")
     assert out[3].text == "<|user|>\n< |end|><|end|>\n" and out[3].n_chars == len(out[3].text)
@@ -91,6 +92,7 @@ def test_quality_rules(spark):
     assert kept.columns == docs(spark, rows, extra=True).columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 1, 8]
     assert quality_rules.keep_good(docs(spark, [])).count() == 0
+    assert next(r for r in quality_rules.RULES if r.name == "length").high == float("inf")
     assert quality_rules.verdicts(docs(spark, ODD)).count() == len(ODD)
 
 
@@ -372,10 +374,39 @@ def test_classifier_learns_and_is_calibrated(spark):
     held = [i for i in truth if i % 5 == 0]
     assert sum(truth[i] == (i in found) for i in held) / len(held) > 0.95
     assert 9001 not in found and 9002 not in found
+    other = df.withColumnRenamed("lang", "language").withColumn("lang", F.lit("zz"))
+    assert {x.doc_id for x in toxicity.toxic_documents(other, y, lang_col="language").collect()} == found
+    twice = df.unionByName(df.where("doc_id = 1").withColumn("text", F.lit("other text")))
+    picked = lambda d: sorted(map(tuple, toxicity.labelled(d.select("doc_id", "text", "lang"), y)[0]))
+    assert picked(twice) == picked(twice.orderBy(F.desc("text"))) and len({r[0] for r in picked(twice)}) == len(picked(twice))
+    few = toxicity.labelled(df.select("doc_id", "text", "lang"), y, 100, 2000)[0]
+    assert 0 < sum(len(r.text) for r in few if r.toxic == 0) <= 2000 and len(few) < 200
     assert toxicity.toxic_documents(df, y.limit(0)).count() == 0
     assert toxicity.toxic_documents(df.limit(0), y).count() == 0
 
 
+def plain_score(model, text):
+    """The network's forward pass, word by word."""
+    w = W.words([text])
+    rows = toxicity.features(w)
+    e = [sum(model.table[r].astype(float) for r in row) for row in rows] + [np.zeros(toxicity.DIM)] * 2
+    out = model.last[0]
+    k0 = 0
+    for k, f, b in zip(toxicity.WIDTHS, model.filters, model.bias, strict=True):
+        for c in range(toxicity.FILTERS):
+            best = max(sum(float(e[i + j] @ f[j * toxicity.DIM : (j + 1) * toxicity.DIM, c]) for j in range(k)) for i in range(len(rows)))
+            out += max(best + b[c], 0) * model.out[k0 + c]
+        k0 += toxicity.FILTERS
+    return 1 / (1 + np.exp(-out))
+
+
+def test_scores_against_a_plain_forward_pass():
+    model, texts = toxicity.Model(), ["you are an idiot", "one", "", "a b c d e f g", "Ärger über alles, sehr."]
+    got = model.scores(W.words(texts))
+    for t, s in zip(texts, got, strict=True):
+        assert s == pytest.approx(plain_score(model, t) if t else 0.0, abs=1e-5)
+
+
 def test_best_threshold():
     s, y = np.array([0.9, 0.8, 0.3, 0.2]), np.array([1.0, 1, 0, 0])
     assert toxicity.best_threshold(s, y, np.ones(4)) == pytest.approx(0.55)
@@ -506,6 +537,53 @@ def test_html_extraction_accuracy_and_tolerance(spark):
     assert html_extract.main_text(df.limit(0)).count() == 0
 
 
+def test_extraction_of_pages_that_the_generator_did_not_make():
+    from pages import PAGES
+
+    right = total = 0
+    for page, content in PAGES:
+        found = html_extract.blocks(page)
+        texts = [b[1] for b in found]
+        assert set(content) <= set(texts)
+        y = html_extract.trained().decode([html_extract.features(found)])[0]
+        right += sum((t in content) == bool(k) for t, k in zip(texts, y, strict=True))
+        total += len(texts)
+        assert sum(k for t, k in zip(texts, y) if t in content) >= 0.75 * len(content)
+    assert right / total >= 0.8
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<html><head><title>x</title><body><article><p>One two.<p>Three", ["One two.", "Three"]),
+        ("<head><title>never closed<body><p>a", ["a"]),
+        ("<head><meta charset=x>text", ["text"]),
+        ("<head><script>if (a</b>c) '</head>'</script></head>t", ["t"]),
+        ("<p>a<select><option>b<option>c<p>after</p>", ["a", "after"]),
+        ("a<select><option>b</select>c", ["ac"]),
+        ("<svg><p>in", ["in"]),
+        ("<noscript>hidden</noscript><p>x<noscript>y", ["xy"]),
+        ("<p>x<style>p{}", ["x"]),
+        ("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>e", ["a", "b", "c", "d", "e"]),
+        ("<table><tr><td>a<td>b<tr><th>c</table>d", ["a", "b", "c", "d"]),
+        ("<dl><dt>a<dd>b<dt>c</dl>", ["a", "b", "c"]),
+        ("<p>a<h2>b</h2>c", ["a", "b", "c"]),
+    ],
+)
+def test_optional_tags(page, want):
+    assert [b[1] for b in html_extract.blocks(page)] == want
+
+
+def test_ancestors_end_where_their_optional_end_tags_would_be():
+    tags = {b[1]: b[0] for b in html_extract.blocks("<body><p>a<div>b</div><ul><li>c<p>d<li>e</ul><table><tr><td><p>f<td>g</table>")}
+    assert tags == {"a": ("body", "p"), "b": ("body", "div"), "c": ("body", "ul", "li"), "d": ("body", "ul", "li", "p"), "e": ("body", "ul", "li"), "f": ("body", "table", "tr", "td", "p"), "g": ("body", "table", "tr", "td")}
+
+
+def test_digits_anywhere_in_a_block_count():
+    a, b = (html_extract.features([(("p",), "x" * 200 + t, 0)])[0] for t in ("7", "y"))
+    assert set(a) ^ set(b) == {html_extract.FLAGS + 4}
+
+
 def test_viterbi_against_all_labellings():
     import itertools
 
