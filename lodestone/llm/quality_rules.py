@@ -4,6 +4,10 @@
 length, symbol, stop-word, repetition and line ratios, all built-in expressions; the same table makes the
 equivalent SQL. No shuffle, no user function; one pass.
 
+Two rules depend on length, as documented here: stop words and repeated words are held against documents of ``STOP_FROM`` words or more only,
+since a few words may well hold no stop word; and distinct words are put in relation to ``DISTINCT_OF`` words at most, since in a
+longer text words recur anyway. No document is too long.
+
 Defined results: null text counts as empty. An empty or wordless text has all ratios 0 and fails the
 length rule. A null or unknown language is held against the stop words of all languages. Each row is
 judged by itself, so repeated rows all stay or all go, and a row whose id is null is judged too. Other
@@ -12,6 +16,7 @@ columns are passed on by ``keep_good``, whatever their names. An empty table giv
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -37,7 +42,7 @@ class Rule:
 
 #: A document is kept if every metric is within its range.
 RULES = [
-    Rule("length", "n_words", 3, 1_000_000),
+    Rule("length", "n_words", 3, math.inf),
     Rule("word_length", "mean_word_length", 2.0, 14.0),
     Rule("symbols", "symbols_per_word", 0.0, 0.1),
     Rule("capitals", "capital_ratio", 0.0, 0.5),
@@ -104,7 +109,9 @@ def metrics(c: Column) -> dict[str, Column]:
 
 
 def _passes(rule: Rule, m: dict[str, Column]) -> Column:
-    ok = m[rule.metric].between(rule.low, rule.high)
+    ok = m[rule.metric] >= rule.low
+    if rule.high < math.inf:
+        ok = ok & (m[rule.metric] <= rule.high)
     return ok | (m["n_words"] < STOP_FROM) if rule.name in ("stop_words", "repeated_words") else ok
 
 
@@ -149,7 +156,7 @@ def _sql() -> str:
 
     stop = "CASE " + " ".join(f"WHEN lang = '{k}' THEN {stops(s)}" for k, s in STOP.items()) + f" ELSE {stops(sorted({w for s in STOP.values() for w in s}))} END"
     blank = r"[ \t\n\r]+"
-    fails = ", ".join(f"CASE WHEN NOT ({r.metric} BETWEEN {r.low} AND {r.high}" + (f" OR n_words < {STOP_FROM}" if r.name in ("stop_words", "repeated_words") else "") + f") THEN '{r.name}' END" for r in RULES)
+    fails = ", ".join(f"CASE WHEN NOT ({r.metric} >= {r.low}" + (f" AND {r.metric} <= {r.high}" if r.high < math.inf else "") + (f" OR n_words < {STOP_FROM}" if r.name in ("stop_words", "repeated_words") else "") + f") THEN '{r.name}' END" for r in RULES)
     return f"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
 s AS (SELECT *, list_filter(regexp_split_to_array(translate(lower(t), {q(MARKS)}, ''), '{blank}'), lambda w: w <> '') AS words,
