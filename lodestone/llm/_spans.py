@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.files import unused
+
 
 def cut_spans(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with the spans (doc_id, text_hash, spans array<struct<start,end>>, not overlapping) cut from its texts, by Spark expressions alone."""
     text = F.col(f"`{text_col}`")
-    spans = spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.sort_array("spans").alias("__spans"))
-    joined = df.join(spans, (F.col(f"`{id_col}`").cast("long") == F.col("__id")) & (F.xxhash64(text.cast("string")) == F.col("__hash")), "left")
-    begins = F.concat(F.array(F.lit(0)), F.transform("__spans", lambda s: s["end"]))
-    ends = F.concat(F.transform("__spans", lambda s: s["start"]), F.array(F.length(text)))
+    names = []
+    for name in ("id", "hash", "spans", "cut"):
+        names.append(unused(name, [*df.columns, *names]))
+    key, digest, cuts, left = names
+    spans = spans.select(F.col("doc_id").alias(key), F.col("text_hash").alias(digest), F.sort_array("spans").alias(cuts))
+    joined = df.join(spans, (F.col(f"`{id_col}`").cast("long") == F.col(f"`{key}`")) & (F.xxhash64(text.cast("string")) == F.col(f"`{digest}`")), "left")
+    found = F.col(f"`{cuts}`")
+    begins = F.concat(F.array(F.lit(0)), F.transform(found, lambda s: s["end"]))
+    ends = F.concat(F.transform(found, lambda s: s["start"]), F.array(F.length(text)))
     parts = F.zip_with(begins, ends, lambda a, b: text.substr(a + F.lit(1), F.greatest(b - a, F.lit(0))))
-    cut = F.when(F.col("__spans").isNotNull(), F.array_join(parts, "")).otherwise(text)
-    out = joined.withColumn("__cut", cut)
-    out = out.where(F.col("__spans").isNull() | F.col("__cut").rlike(r"[\p{L}\p{N}]"))
-    return out.select(*[F.col("__cut").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
+    out = joined.withColumn(left, F.when(found.isNotNull(), F.array_join(parts, "")).otherwise(text))
+    out = out.where(found.isNull() | F.col(f"`{left}`").rlike(r"[\p{L}\p{N}]"))
+    return out.select(*[F.col(f"`{left}`").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
