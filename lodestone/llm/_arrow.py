@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, functions as F
 from . import _words as W
 
 
-def select_text(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
-    """The two columns that an operator reads, renamed so that no other column clashes; rows without an id go."""
+def select_text(df: DataFrame, id_col: str, text_col: str, **more: str) -> DataFrame:
+    """The two columns that an operator reads, and more as name=column, renamed so that no other column clashes; rows without an id go."""
     cols = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")]
-    return df.select(*cols, *[F.col(f"`{c}`").alias(c) for c in more]).where(F.col("doc_id").isNotNull())
+    return df.select(*cols, *[F.col(f"`{c}`").alias(name) for name, c in more.items()]).where(F.col("doc_id").isNotNull())
 
 
 def map_texts(df: DataFrame, f: Callable[[np.ndarray, list], dict | None], schema: str) -> DataFrame:
