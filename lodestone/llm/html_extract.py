@@ -5,9 +5,12 @@ tags. Each block has binary features of its ancestors' tags and of its text (len
 digits, ...). A two-label field (boilerplate, content) is trained by maximum likelihood (forward-backward,
 Adam) on the labelled pages of ``labelled_pages`` and decodes pages by Viterbi, many pages at once.
 
+The field is trained on ``PAGES`` labelled pages in ``ROUNDS`` rounds.
+
 Defined results: null id: row ignored. Null or empty html, or one without text: no blocks and an empty text. Scripts,
-styles, comments, the head and other hidden elements are no blocks. Unclosed and stray tags, and
-unfinished comments, are tolerated; pages are parsed whole. Each row is its own page: repeated rows give repeated
+styles, comments, titles, selections and other hidden elements are no blocks. Optional tags may be missing: a head ends at the first tag or text that
+it can't hold, a paragraph at the next block, list items, cells and options at the next one. Unclosed and stray tags, and
+unfinished comments, are tolerated; of unclosed elements only scripts, styles and the like hide the rest of the page. Pages are parsed whole. Each row is its own page: repeated rows give repeated
 results. An empty table gives an empty result.
 """
 
@@ -28,16 +31,23 @@ from ._arrow import select_text
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|head|svg|iframe|select|textarea)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
     r"|</?[a-zA-Z][^>]*>|<[!?][^>]*>|[^<]+|<",
-    re.S | re.I,
+    re.S,
 )
+#: Elements whose content is no text of the page. Those of RAW go on to the end of the page if they aren't closed, as browsers have it; of
+#: the others an unclosed tag hides nothing.
+RAW = frozenset("script style textarea iframe xmp".split())
+HIDDEN = RAW | frozenset("noscript template svg math title select".split())
+_CLOSE = {t: re.compile(rf"</{t}\s*+>", re.I) for t in HIDDEN}
+#: What a head may hold; any other tag, and any text, ends it.
+HEAD = frozenset("title meta link base style script noscript template head".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: A new one of these closes an open one, if nothing of the second set was opened in between.
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-FENCE = frozenset("ul ol dl table tbody div section article main nav aside header footer body form blockquote".split())
+#: A new one of these closes an open one, if nothing of FENCE was opened in between; a block closes a paragraph.
+CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
+CLOSES |= {t: {"p"} for t in "p address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split()}
+FENCE = frozenset("ul ol dl table div section article main nav aside header footer body form blockquote td th li dd figure".split())
 TAGS = "html body div section article main nav aside header footer ul ol li dl dt dd table tbody tr td th p h1 h2 h3 h4 h5 h6 blockquote pre form button figure figcaption address a address details summary fieldset".split()
 
 _TAG = {t: i for i, t in enumerate(dict.fromkeys(TAGS))}
@@ -48,9 +58,12 @@ LEAF, PARENT, ABOVE = 0, _N + 1, 2 * (_N + 1)
 DEPTH, CHARS, WORDS, LINKS = 3 * (_N + 1), 3 * (_N + 1) + 8, 3 * (_N + 1) + 16, 3 * (_N + 1) + 24
 FLAGS = LINKS + 5
 SIZE = FLAGS + 12
-_END, _LETTER = re.compile(r"[.!?…]['\"”)]*\s*$"), re.compile(r"\w")
+_END, _LETTER, _DIGIT = re.compile(r"[.!?…]['\"”)]*\s*$"), re.compile(r"\w"), re.compile(r"\d")
 _SPACE = re.compile(r"\s+")
 
+#: Labelled pages on which the field is trained, and rounds over them.
+PAGES, ROUNDS = 400, 150
+
 Block = tuple[tuple[str, ...], str, int]
 
 
@@ -70,37 +83,67 @@ def blocks(page: str | None) -> list[Block]:
             text.clear()
         links = 0
 
-    for m in _TOKEN.finditer(page or ""):
-        name = m.group(3)
+    page, at, head, unclosed = page or "", 0, False, set()
+    tokens = _TOKEN.finditer(page)
+    while (m := next(tokens, None)) is not None:
+        name = m.group(2)
         if name is None:
             t = m.group()
             if t[0] != "<" or len(t) == 1:
-                text.append(t)
-                if depth_a:
-                    links += len(t.strip())
+                if head and not t.isspace():
+                    head = False
+                if not (stack and stack[-1] in ("option", "optgroup")):
+                    text.append(t)
+                    if depth_a:
+                        links += len(t.strip())
             continue
         name = name.lower()
+        if name == "head":
+            head = not m.group(1)
+            continue
+        if name in HIDDEN and not m.group(1):
+            end = None if name in unclosed else _CLOSE[name].search(page, m.end())
+            if end:
+                tokens = _TOKEN.finditer(page, end.end())
+            elif name in RAW:
+                break
+            else:
+                unclosed.add(name)  # no later one is closed either
+                if name == "title":  # a title ends with its line of text
+                    at = page.find("<", m.end())
+                    tokens = _TOKEN.finditer(page, at if at >= 0 else len(page))
+            if name not in HEAD:
+                head = False
+            continue
+        if name in HIDDEN:
+            continue
+        head = head and name in HEAD
         if name in INLINE:
             if name == "br":
                 text.append(" ")
             elif name == "a":
-                depth_a = 0 if m.group(2) else 1
+                depth_a = 0 if m.group(1) else 1
             continue
         flush()
         depth_a = 0
-        if m.group(2):
+        if m.group(1):
             if name in stack:
                 while stack.pop() != name:
                     pass
         elif name not in VOID:
+            if name not in ("option", "optgroup"):
+                while stack and stack[-1] in ("option", "optgroup"):  # of a select that wasn't closed
+                    stack.pop()
             closes = CLOSES.get(name)
             if closes:
+                last = None
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i] in closes:
-                        del stack[i:]
-                        break
-                    if stack[i] in FENCE:
+                        last = i
+                    elif stack[i] in FENCE:
                         break
+                if last is not None:
+                    del stack[last:]
             stack.append(name)
     flush()
     return out
@@ -122,7 +165,7 @@ def features(found: list[Block]) -> list[list[int]]:
         f += [DEPTH + min(7, len(known)), CHARS + _bucket(size), WORDS + _bucket(words), LINKS + (0 if links == 0 else 1 if share < 0.25 else 2 if share < 0.6 else 3 if share < 0.9 else 4)]
         end = bool(_END.search(text[-8:]))
         commas = text.count(",")
-        marks = [end, commas > 0, commas >= 3, "©" in text or "(c)" in text, any(c.isdigit() for c in text[:80]), text.isupper(), text[:1].islower(), i == 0, i == n - 1, end and words >= 10, "|" in text or "·" in text or "»" in text, not _LETTER.search(text)]
+        marks = [end, commas > 0, commas >= 3, "©" in text or "(c)" in text, bool(_DIGIT.search(text)), text.isupper(), text[:1].islower(), i == 0, i == n - 1, end and words >= 10, "|" in text or "·" in text or "»" in text, not _LETTER.search(text)]
         f += [FLAGS + k for k, x in enumerate(marks) if x]
         out.append(f)
     return out
@@ -173,7 +216,7 @@ class Field:
                 now[:n] = back[begin[:n] + t, now[:n]]
         return [labels[a:b] for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
 
-    def train(self, pages: list[list[list[int]]], labels: list[np.ndarray], rounds: int = 100, rate: float = 0.1, l2: float = 1e-3) -> None:
+    def train(self, pages: list[list[list[int]]], labels: list[np.ndarray], rounds: int = ROUNDS, rate: float = 0.1, l2: float = 1e-3) -> None:
         """Maximum likelihood by forward-backward over all pages at once, padded to the longest."""
         numbers, first, ptr = self.flat(pages)
         y, size = np.concatenate(labels).astype(int), np.diff(ptr)
@@ -330,7 +373,7 @@ def labelled_pages(n: int, seed: int = 3) -> Iterator[tuple[str, list[int]]]:
 
 
 @lru_cache(1)
-def trained(pages: int = 300, seed: int = 3) -> Field:
+def trained(pages: int = PAGES, seed: int = 3) -> Field:
     """The field, trained on this many labelled pages."""
     data = [(features(blocks(h)), np.int64(y)) for h, y in labelled_pages(pages, seed)]
     data = [(f, y) for f, y in data if len(f) == len(y) and len(y)]
