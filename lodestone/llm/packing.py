@@ -11,7 +11,8 @@ An example beyond a limit is cut into as few even parts as stay within the limit
 at least; no token is dropped.
 
 Defined results: null id: row ignored. Null or negative demands count as 0; an example without tokens is
-placed too, with no cost but its segments (at least 1). Repeated rows are separate examples. An empty table gives
+placed too, with no cost but its segments (at least 1). Repeated rows of ``pack_examples`` and ``pack_documents`` are separate examples;
+in ``pack_conversations`` every row is a turn, so a repeated row is one more turn of its conversation. An empty table gives
 no packs. Other columns are ignored.
 """
 
