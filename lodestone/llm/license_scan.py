@@ -2,12 +2,13 @@
 
 The templates' winnowed 3-word fingerprints make an inverted index. It depends on the templates alone, is
 checked for size and goes to all executors. Each document's fingerprints are looked up; postings of one
-template whose diagonals (document word - template word) lie within a band are a candidate. Its words are aligned
+template whose diagonals (document word - template word) lie within a band are a candidate, be it one posting. Its words are aligned
 with the template's around the middle diagonal (local alignment: match 2, mismatch -1, gap -1), which gives the
 matched words, coverage (matched share of the template) and span. Findings of at least ``COVERAGE`` remain; of
 those that overlap by half or more of the shorter one, the one with the most matched words does, then the one of the
 highest coverage, then the first template.
 
+A copy of a longer template with a quarter of its words altered still has fingerprints: any four words in a row that are left hold one.
 A template of up to ``SHORT`` words has too few fingerprints for an altered copy to keep one. For these every run of
 document words that holds enough of the template's words, as near to each other as an alignment allows, is aligned
 without a band: no copy that reaches ``COVERAGE`` is missed. What is left of the run on both sides is searched again.
@@ -32,8 +33,6 @@ from ._arrow import map_texts, select_text
 from .license_templates import TEMPLATES
 
 K, WINDOW, COVERAGE, MOST_WORDS = 3, 2, 0.75, 1_000_000
-#: A candidate has at least this share of its template's fingerprints, and one at least.
-SHARE = 0.2
 #: Templates of up to this many words are also found by single words. Their runs are aligned so many words at a time.
 SHORT, RUN = 20, 512
 
@@ -69,7 +68,6 @@ class Index:
         self.fp, first = np.unique(fp[by], return_index=True)
         self.ptr = np.append(first, len(fp))
         self.template, self.place = of[by], (at - w.ptr[of])[by]
-        self.count = np.bincount(of, minlength=len(templates))
         self.short = [t for t, x in enumerate(self.words) if len(x) <= SHORT]
         self.vocabulary = np.unique(np.concatenate([self.words[t] for t in self.short])) if self.short else np.zeros(0, np.uint64)
         #: Of each short template: how often it has each word of the vocabulary.
@@ -187,8 +185,6 @@ def scan_words(words: np.ndarray, at: np.ndarray, post: np.ndarray, index: Index
             if k < len(all_hits) and all_hits[k][0] - all_hits[k - 1][0] <= half:
                 continue
             group, begin = all_hits[begin:k], k
-            if len({q for _, q in group}) < max(1.0, SHARE * index.count[t]):
-                continue
             low, high = group[0][0], group[-1][0]
             middle, spread = (low + high) // 2, half + (high - low + 1) // 2
             lo, hi = max(0, low - half), min(len(words), high + m + half)

@@ -340,6 +340,41 @@ def test_edited_licence_notices_against_full_alignment(spark):
     assert license_scan.license_findings(docs(spark, [(1, repeated)])).count() == 300
 
 
+def test_every_single_changed_word_of_a_short_notice_is_found(spark):
+    index, rows, want = license_scan.Index(), [], {}
+    for t, (_, _, text) in enumerate(license_scan.TEMPLATES):
+        m = len(index.words[t])
+        if m > 20 or (m - 1) / m < license_scan.COVERAGE:
+            continue
+        w = W.words([text])
+        for x in range(m):
+            for new in ("zzyx", ""):
+                words = [new if i == x else text[a:b] for i, (a, b) in enumerate(zip(w.start, w.end))]
+                rows.append((len(rows), "zq zw " + " ".join(words) + " ze zr"))
+                h = W.words([rows[-1][1]]).hash
+                want[rows[-1][0]] = max(n for n, of in ((license_scan.align(a, h, 0, len(h))[0], len(a)) for a in index.words if len(a) <= 20) if n >= license_scan.COVERAGE * of)
+    got = {}
+    for x in license_scan.license_findings(docs(spark, rows)).collect():
+        got[x.doc_id] = max(x.n_matched, got.get(x.doc_id, 0))
+    assert got == want and len(rows) > 200
+
+
+def test_long_licences_with_many_altered_words_are_found(spark):
+    index, r, rows = license_scan.Index(), np.random.default_rng(3), []
+    for t, (_, name, text) in enumerate(license_scan.TEMPLATES):
+        m = len(index.words[t])
+        if m > 20:
+            w = W.words([text])
+            for _ in range(6):
+                words = [text[a:b] for a, b in zip(w.start, w.end)]
+                for x in r.choice(m, int(m * 0.22), replace=False):
+                    words[x] = f"zz{r.integers(1000)}"
+                rows.append((len(rows), prose(20, len(rows)) + " " + " ".join(words)))
+    found = {x.doc_id for x in license_scan.license_findings(docs(spark, rows)).collect()}
+    full = {i for i, t in rows for h in [W.words([t]).hash] if any(license_scan.align(a, h, 0, len(h) + len(a))[0] >= license_scan.COVERAGE * len(a) for a in index.words)}
+    assert len(found & full) >= 0.97 * len(full) and found <= full and len(full) > 60
+
+
 def test_banded_alignment_against_the_full_one():
     r = np.random.default_rng(2)
     for _ in range(30):
