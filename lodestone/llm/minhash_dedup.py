@@ -37,6 +37,8 @@ from ._arrow import fixed_binary, lists, select_text
 
 #: Documents of a bucket that one task searches against each other or against as many others.
 BLOCK = 4096
+#: Keys (two numbers each) of removed documents that are broadcast at most.
+MOST_KEYS = 4_000_000
 SHINGLE, BANDS, ROWS, THRESHOLD = 3, 40, 4, 0.5
 
 
@@ -201,7 +203,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of df without those of documents that have a near copy which comes before them, and with one row of each document.
 
-    Texts are shuffled only if the removed documents' keys are too many to be broadcast, and those of documents in several rows.
+    Up to ``MOST_KEYS`` keys of removed documents are broadcast, so that no text is shuffled but those of documents in several rows; beyond
+    that the keys are joined by a shuffle.
     """
     gone, repeated = duplicate_texts(df, id_col, text_col, **options)
     key, text_hash = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))
@@ -209,6 +212,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
         a, b = unused("key", rows.columns), unused("hash", rows.columns)
         keys = keys.select(F.col("doc_id").alias(a), F.col("text_hash").alias(b))
+        keys = F.broadcast(keys) if keys.count() <= MOST_KEYS else keys
         return rows.join(keys, (key == F.col(f"`{a}`")) & (text_hash == F.col(f"`{b}`")), how)
 
     kept = among(df, gone, "left_anti")

@@ -136,7 +136,9 @@ def test_near_duplicates_hot_group_and_odd_rows(spark):
     assert minhash_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
-def test_texts_under_one_id_are_told_apart(spark):
+@pytest.mark.parametrize("most_keys", [4_000_000, 0])
+def test_texts_under_one_id_are_told_apart(spark, monkeypatch, most_keys):
+    monkeypatch.setattr(minhash_dedup, "MOST_KEYS", most_keys)
     a, b, c = (prose(60, n) for n in (1, 2, 3))
     rows = [(5, a), (5, b), (5, b), (3, a + " end"), (8, b), (9, c), (9, c), (9, c), (2, None), (2, None), (None, a), (None, a)]
     for change in (rows, rows[::-1]):
