@@ -6,7 +6,7 @@
    next power of four permutes; values outside the range walk on through the permutation until they
    are inside, so slots are a permutation of 0..N-1.
 3. Records are partitioned by ranges of slots, whole shards to a partition, and sorted: one shuffle, no
-   sampling. A record is ``2 + 2 * LENGTH`` bytes: the token count and the ids, 16 bits each in little-endian
+   sampling. A task puts its records for a range together and compresses them before they are shuffled. A record is ``2 + 2 * LENGTH`` bytes: the token count and the ids, 16 bits each in little-endian
    order, then zeros. So slot s is at byte ``(s % SLOTS) * stride`` of shard ``s // SLOTS``, and a reader
    resumes at any slot with one seek.
 4. Each partition writes its shards to files in the shared folder and returns their records as read from them.
@@ -23,18 +23,21 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import Scratch, ship
 from . import _tokens as T
 from ._arrow import fixed_binary, select_text
 
+#: Bytes of records that a task puts together at once.
+HELD = 64 << 20
 LENGTH, SLOTS, SHARDS_PER_TASK, KEY, ROUNDS = 512, 4096, 8, 0x5EED_CAFE, 8
 
 
@@ -100,15 +103,69 @@ def training_order(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = int(starts[-1])
     first = spark.sparkContext.broadcast((pids, starts))
 
-    @F.pandas_udf("long")
-    def slot(pid: pd.Series, row: pd.Series) -> pd.Series:
-        pids, starts = first.value
-        return pd.Series(feistel(starts[np.searchsorted(pids, pid.to_numpy())] + row.to_numpy(), n, key))
-
-    stride, partitions = 2 + 2 * length, max(1, -(-n // (slots * SHARDS_PER_TASK)))
-    placed = saved.select(slot("pid", "row").alias("slot"), "doc_id", "part", "n_tokens", "record")
-    placed = placed.repartitionById(partitions, F.floor(F.col("slot") / (slots * SHARDS_PER_TASK)).cast("int")).sortWithinPartitions("slot")
-    return placed.select("slot", F.floor(F.col("slot") / slots).alias("shard"), ((F.col("slot") % slots) * stride).alias("offset"), "doc_id", "part", "n_tokens", F.rpad("record", F.lit(stride), F.lit(b"\0")).alias("record"))
+    per = slots * SHARDS_PER_TASK
+    stride, partitions = 2 + 2 * length, max(1, -(-n // per))
+    parcels = saved.select("pid", "row", "doc_id", "part", "n_tokens", "record").mapInArrow(partial(_parcels, first=first, n=n, key=key, per=per), "range int, head binary, body binary")
+    unpack = partial(_unpack, per=per, slots=slots, stride=stride)
+    return parcels.repartitionById(partitions, "range").mapInArrow(unpack, "slot long, shard long, offset long, doc_id long, part int, n_tokens int, record binary")
+
+
+_HEAD = np.dtype([("at", "<i4"), ("part", "<i4"), ("n_tokens", "<i4"), ("size", "<i4"), ("doc_id", "<i8")])
+
+
+def _parcels(batches: Iterator[pa.RecordBatch], first: Broadcast, n: int, key: int, per: int) -> Iterator[pa.RecordBatch]:
+    """Records given their slots and put together by ranges of ``per`` slots, compressed: (range, head, body), so that much less is shuffled."""
+    pids, starts = first.value
+    pack, held, size = zstandard.ZstdCompressor(level=6), [], 0
+
+    def flush() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        slot = feistel(starts[np.searchsorted(pids, t["pid"].to_numpy())] + t["row"].to_numpy(), n, key)
+        by = np.argsort(slot)
+        slot, t = slot[by], t.take(pa.array(by)).combine_chunks()
+        records = t["record"].chunk(0)
+        offset = np.frombuffer(records.buffers()[1], np.int32)[records.offset : records.offset + len(records) + 1]
+        head = np.empty(len(slot), _HEAD)
+        of = slot // per
+        head["at"], head["size"] = slot - of * per, np.diff(offset)
+        for c in ("part", "n_tokens", "doc_id"):
+            head[c] = t[c].to_numpy()
+        begin = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        ends, data = [*begin[1:].tolist(), len(of)], memoryview(records.buffers()[2])
+        rows = [(pack.compress(head[i:j].tobytes()), pack.compress(data[offset[i] : offset[j]])) for i, j in zip(begin.tolist(), ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(of[begin].astype(np.int32)), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["range", "head", "body"])
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.nbytes
+        if size >= HELD:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
+
+
+def _unpack(batches: Iterator[pa.RecordBatch], per: int, slots: int, stride: int) -> Iterator[pa.RecordBatch]:
+    """The records of the partition's ranges of slots, in their order and padded to the stride; a range is at most ``per`` records."""
+    unpack, found = zstandard.ZstdDecompressor(), {}
+    for b in batches:
+        for r, head, body in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+            found.setdefault(r, []).append((head, body))
+    for r in sorted(found):
+        parts = found.pop(r)
+        head = np.concatenate([np.frombuffer(unpack.decompress(h), _HEAD) for h, _ in parts])
+        data = np.frombuffer(b"".join(unpack.decompress(b) for _, b in parts), np.uint8)
+        start, by = np.concatenate(([0], np.cumsum(head["size"], dtype=np.int64)))[:-1], np.argsort(head["at"])
+        for lo in range(0, len(by), 1024):
+            rows = by[lo : lo + 1024]
+            size = head["size"][rows]
+            real = np.arange(stride) < size[:, None]
+            record = np.zeros((len(rows), stride), np.uint8)
+            record[real] = data[(start[rows][:, None] + np.arange(stride))[real]]
+            slot = head["at"][rows].astype(np.int64) + r * per
+            columns = [pa.array(x) for x in (slot, slot // slots, slot % slots * stride, head["doc_id"][rows], head["part"][rows], head["n_tokens"][rows])]
+            yield pa.RecordBatch.from_arrays([*columns, fixed_binary(record)], ["slot", "shard", "offset", "doc_id", "part", "n_tokens", "record"])
 
 
 def shard_name(shard: int) -> str:
