@@ -66,10 +66,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write a table and return a DataFrame that reads it; an older table of that name stays until dropped."""
+    def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        """Write a table, with more options of the writer if need be, and return a DataFrame that reads it; an older table of that name stays until dropped."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").options(compression="zstd", **options).parquet(path)
         root, system = self._place(self.root)
         system.deleteOnExit(root)  # what is still there when the driver ends
         return self.spark.read.schema(df.schema).parquet(path)
