@@ -36,6 +36,8 @@ from ..session import Scratch, ship
 from . import _tokens as T
 from ._arrow import fixed_binary, select_text
 
+#: Tokens are written densely: the table stays until the files are written.
+DENSE = {"parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(4 << 20)}
 #: Bytes of records that a task puts together at once.
 HELD = 64 << 20
 LENGTH, SLOTS, SHARDS_PER_TASK, KEY, ROUNDS = 512, 4096, 8, 0x5EED_CAFE, 8
@@ -95,7 +97,7 @@ def training_order(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("length must be 1..65535")
     spark = df.sparkSession
     ship(spark)
-    saved = Scratch(spark, "tokens").save(sequences(df, id_col, text_col, vocabulary, length), "sequences")
+    saved = Scratch(spark, "tokens").save(sequences(df, id_col, text_col, vocabulary, length), "sequences", **DENSE)
     # One row for each input partition comes to the driver.
     sizes = {r[0]: r[1] for r in saved.groupBy("pid").agg(F.max("row") + 1).collect()}
     pids = np.int64(sorted(sizes))
@@ -116,7 +118,7 @@ _HEAD = np.dtype([("at", "<i4"), ("part", "<i4"), ("n_tokens", "<i4"), ("size",
 def _parcels(batches: Iterator[pa.RecordBatch], first: Broadcast, n: int, key: int, per: int) -> Iterator[pa.RecordBatch]:
     """Records given their slots and put together by ranges of ``per`` slots, compressed: (range, head, body), so that much less is shuffled."""
     pids, starts = first.value
-    pack, held, size = zstandard.ZstdCompressor(level=6), [], 0
+    pack, held, size = zstandard.ZstdCompressor(level=9), [], 0
 
     def flush() -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
@@ -155,17 +157,14 @@ def _unpack(batches: Iterator[pa.RecordBatch], per: int, slots: int, stride: int
     for r in sorted(found):
         parts = found.pop(r)
         head = np.concatenate([np.frombuffer(unpack.decompress(h), _HEAD) for h, _ in parts])
-        data = np.frombuffer(b"".join(unpack.decompress(b) for _, b in parts), np.uint8)
-        start, by = np.concatenate(([0], np.cumsum(head["size"], dtype=np.int64)))[:-1], np.argsort(head["at"])
+        data = b"".join(unpack.decompress(b) for _, b in parts)
+        end, by = np.cumsum(head["size"], dtype=np.int64), np.argsort(head["at"])
         for lo in range(0, len(by), 1024):
             rows = by[lo : lo + 1024]
-            size = head["size"][rows]
-            real = np.arange(stride) < size[:, None]
-            record = np.zeros((len(rows), stride), np.uint8)
-            record[real] = data[(start[rows][:, None] + np.arange(stride))[real]]
+            record = b"".join([data[b - k : b].ljust(stride, b"\0") for b, k in zip(end[rows].tolist(), head["size"][rows].tolist(), strict=True)])
             slot = head["at"][rows].astype(np.int64) + r * per
             columns = [pa.array(x) for x in (slot, slot // slots, slot % slots * stride, head["doc_id"][rows], head["part"][rows], head["n_tokens"][rows])]
-            yield pa.RecordBatch.from_arrays([*columns, fixed_binary(record)], ["slot", "shard", "offset", "doc_id", "part", "n_tokens", "record"])
+            yield pa.RecordBatch.from_arrays([*columns, fixed_binary(np.frombuffer(record, np.uint8).reshape(len(rows), stride))], ["slot", "shard", "offset", "doc_id", "part", "n_tokens", "record"])
 
 
 def shard_name(shard: int) -> str:
