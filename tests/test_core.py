@@ -552,3 +552,12 @@ def test_history_follows_a_stream(spark, tmp_path):
         rounds.follow_history(stream, lambda rows, e: rows.sparkSession.createDataFrame([(e, 1.0, 0.5, 7)], "batch int, rmse double, SD double, score int"), str(tmp_path / "history"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r.batch for r in rounds.read_history(spark, str(tmp_path / "history")).collect()) == [0, 1, 2]
     assert {r.convergence for r in rounds.verdict(spark, str(tmp_path / "history")).collect()} == {"no", "yes"}
+
+
+def test_entry_keeps_the_core_queries_where_a_library_is_missing():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); assert 'convergence' in q and not any(n.startswith('op1_') for n in q); e.oracle_sql()"
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=Path(__file__).resolve().parents[1], check=True)
