@@ -61,11 +61,16 @@ def quantiles(df: DataFrame, columns: list[str], probs: tuple[float, ...] = (0.2
         below.append(counted[2 * k] if fits else 0)
         if not fits:
             c[2], c[3] = first[c[0]].lo, first[c[0]].hi
-    of = {i: [c for c in cells if c[0] == i] for i in {c[0] for c in cells}}
+        if c[2] == c[3]:  # a bracket of one value, as columns of few values have: that is the quantile
+            out[columns[c[0]]][c[1]] = c[2]
+    wide = [(k, c) for k, c in enumerate(cells) if c[2] < c[3]]
+    if not wide:
+        return out, sds
+    of = {i: [c for _, c in wide if c[0] == i] for i in {c[0] for _, c in wide}}
     kept = [F.when(reduce(lambda a, b: a | b, [x[columns[i]].between(c[2], c[3]) for c in mine]), F.struct(F.lit(i).alias("i"), x[columns[i]].alias("v"))) for i, mine in of.items()]
     counts = df.select(F.explode(F.array(*kept)).alias("e")).where("e is not null").groupBy("e.i", "e.v").agg(F.count("*").alias("n"))
     # One row a quantile: a few dozen, so they may be broadcast.
-    brackets = df.sparkSession.createDataFrame([(k, c[0], c[2], c[3], below[k], c[4], c[5]) for k, c in enumerate(cells)], "k int, i int, low double, high double, below long, r0 long, r1 long")
+    brackets = df.sparkSession.createDataFrame([(k, c[0], c[2], c[3], below[k], c[4], c[5]) for k, c in wide], "k int, i int, low double, high double, below long, r0 long, r1 long")
     inside = counts.join(F.broadcast(brackets), "i").where(F.col("v").between(F.col("low"), F.col("high")))
     upto = inside.withColumn("upto", F.col("below") + F.sum("n").over(Window.partitionBy("k").orderBy("v")))
     for r in upto.groupBy("k").agg(*[F.min(F.when(F.col("upto") > F.col(f"r{a}"), F.col("v"))).alias(f"v{a}") for a in (0, 1)]).collect():
