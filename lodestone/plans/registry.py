@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import active_queries, clustering_queries, search_queries, table_queries, vector_queries, workflow_queries  # noqa: E402, F401
+from . import active_queries, clustering_queries, rule_queries, search_queries, table_queries, vector_queries, workflow_queries  # noqa: E402, F401
