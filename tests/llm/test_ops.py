@@ -92,6 +92,8 @@ def test_quality_rules(spark):
     assert kept.columns == docs(spark, rows, extra=True).columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 1, 8]
     assert quality_rules.keep_good(docs(spark, [])).count() == 0
+    odd = docs(spark, [(1, good), (2, good), (3, None)]).withColumn("lang", F.when(F.col("doc_id") == 1, None).otherwise("xx"))
+    assert sorted(r.doc_id for r in quality_rules.keep_good(odd).collect()) == [1, 2]
     assert next(r for r in quality_rules.RULES if r.name == "length").high == float("inf")
     assert quality_rules.verdicts(docs(spark, ODD)).count() == len(ODD)
 
