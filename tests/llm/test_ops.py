@@ -447,6 +447,44 @@ def test_best_threshold():
     assert toxicity.best_threshold(np.full(4, 0.5), y, np.ones(4)) <= 0.5
 
 
+def test_every_labelled_document_is_trained_on_and_calibrates(spark):
+    r, texts, labels = random.Random(8), {}, []
+    for i in range(1800):
+        texts[i] = prose(30, i, 300).split()
+        labels.append((i, 1, int(r.random() < 0.25)))
+    frame = lambda: spark.createDataFrame([(i, " ".join(w), "en" if i % 2 else "de", "s", 0) for i, w in texts.items()], DOCS)
+    y = spark.createDataFrame([x for x in labels if x[0] % 5] + [(-7, 1, 0)], "doc_id long, quality int, toxic int")
+    first = {x.doc_id for x in toxicity.labelled(frame().select("doc_id", "text", "lang"), y, 150)[0]}
+    # One word makes the documents of the first block toxic, another one all others.
+    for i, _, t in labels:
+        if t:
+            texts[i][r.randrange(30)] = "moron" if i in first else "grumblefex"
+    run = lambda d: sorted(map(tuple, toxicity.toxic_documents(d, y, per_class=150).collect()))
+    found = run(frame())
+    hits, new = {x[0] for x in found}, [i for i, _, t in labels if i % 5 == 0]
+    toxic = [i for i in new if "grumblefex" in texts[i]]
+    assert toxic and sum(i in hits for i in toxic) >= 0.9 * len(toxic)
+    clean = [i for i, _, t in labels if i % 5 == 0 and not t]
+    assert sum(i in hits for i in clean) <= 0.05 * len(clean)
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert run(frame().repartition(5, "text")) == found
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+    # A bound on characters is noticed as well.
+    few = toxicity.labelled(frame().select("doc_id", "text", "lang"), y, 1000, 2000)[0]
+    assert all(x.of > sum(z.toxic == x.toxic for z in few) for x in few)
+
+
+def test_thresholds_of_all_rows_against_a_plain_search(spark):
+    r = random.Random(5)
+    rows = [(r.choice(["en", "de", "", None]), round(r.random(), 2), int(r.random() < 0.3)) for _ in range(600)] + [("xx", 0.5, 1)]
+    got, weight = toxicity.best_thresholds(spark.createDataFrame(rows, "lang string, score double, toxic int"), [3.0, 0.5]), np.array([3.0, 0.5])
+    plain = lambda part: toxicity.best_threshold(np.array([x[1] for x in part]), np.array([x[2] for x in part]), weight[[x[2] for x in part]])
+    assert got == pytest.approx({None: plain(rows)} | {k: plain([x for x in rows if x[0] == k]) for k in ("en", "de")})
+
+
 # Substrings
 
 
