@@ -591,6 +591,30 @@ def test_token_output_round_trip(spark, tmp_path):
     assert token_output.training_order(docs(spark, [])).count() == 0
 
 
+def test_packed_tokens_round_trip():
+    r = np.random.default_rng(3)
+    order = r.permutation(1 << 16)[:20000].astype("<u2")
+    for n in (1, 50, 300, 20000):
+        tokens = np.concatenate([order[: min(n, 5)], order[r.integers(0, n, 3000)], order[n - 1 : n]])
+        data = token_output.pack(tokens, token_output.ranks(order))
+        assert token_output.unpack(data, len(tokens), order).tolist() == tokens.tolist()
+    assert token_output.unpack(token_output.pack(order[:0], token_output.ranks(order)), 0, order).tolist() == []
+
+
+def test_written_tokens_take_little_disk(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from lodestone.session import shared_dir
+
+    here = lambda: set(Path(urlparse(shared_dir(spark)).path).glob("tokens-*"))
+    before = here()
+    tokens = token_output.training_order(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).agg(F.sum("n_tokens")).first()[0]
+    (new,) = here() - before
+    # Of 16 bits a token; the whole query keeps them, what it shuffles and the shards.
+    assert sum(f.stat().st_size for f in new.rglob("*.parquet")) <= 0.435 * 2 * tokens
+
+
 # HTML
 
 
