@@ -265,7 +265,8 @@ def fit_rest(model: Model, docs: DataFrame, labels: DataFrame, sizes: dict[int,
 def _advance(model: Model, saved: DataFrame, weight: np.ndarray, hold: bool, turn: int) -> None:
     """One pass: each block trains a copy of the model, and the changes are averaged over the blocks that made them."""
     shared, per = saved.sparkSession.sparkContext.broadcast(model), BUCKETS // PIECES
-    unit, rate = 2.0**32, RATE * (1 - turn / PASSES)
+    # Sums of squares grow with the square of a rare class's weight, so they have a larger unit there: no sum leaves 64 bits.
+    units, rate = np.array([2.0**32, 2.0 ** (32 - 2 * max(0, np.ceil(np.log2(weight.max() / 8))))]), RATE * (1 - turn / PASSES)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, now, own, r = shared.value, None, None, None
@@ -309,20 +310,24 @@ def _advance(model: Model, saved: DataFrame, weight: np.ndarray, hold: bool, tur
         if own is not None:
             yield changes()
 
+    def unit(piece: int, width: int) -> np.ndarray:
+        return np.repeat(units, [DIM, 1] if piece < PIECES else width // 2)
+
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Sums of integers are the same in any order.
         sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
             for piece, slots, moved in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x = np.rint(np.frombuffer(moved, "<f4") * unit).astype(np.int64)
+                x = np.frombuffer(moved, "<f4")
                 x = x.reshape(-1, DIM + 1) if piece < PIECES else x[None]
+                x = np.rint(x * unit(piece, x.shape[1])).astype(np.int64)
                 total, times = sums.setdefault(piece, (np.zeros((per if piece < PIECES else 1, x.shape[1]), np.int64), np.zeros(per, np.int64)))
                 at = np.frombuffer(slots, "<u2") if piece < PIECES else np.zeros(1, int)
                 total[at] += x
                 times[at] += 1
         for piece, (total, times) in sums.items():
             at = np.flatnonzero(times)
-            mean = (total[at] / unit / times[at, None]).astype("<f4")
+            mean = (total[at] / unit(piece, total.shape[1]) / times[at, None]).astype("<f4")
             yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "slots": pa.array([at.astype("<u2").tobytes()], pa.binary()), "moved": pa.array([mean.tobytes()], pa.binary())})
 
     schema = "piece int, slots binary, moved binary"

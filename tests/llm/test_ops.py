@@ -477,6 +477,20 @@ def test_every_labelled_document_is_trained_on_and_calibrates(spark):
     assert all(x.of > sum(z.toxic == x.toxic for z in few) for x in few)
 
 
+def test_a_pass_over_one_block_is_its_own_training_however_rare_a_class(spark):
+    texts, y = ["you are a moron", "a fine day", "what a moron", "good old times"], [1, 0, 1, 0]
+    saved = spark.createDataFrame([(i, 0, t, x) for i, (t, x) in enumerate(zip(y, texts))], "doc_id long, block int, toxic int, text string").coalesce(1)
+    for weight in (np.array([0.5, 5.0]), np.array([0.5, 5e6])):
+        got, own = toxicity.Model(), toxicity.Model()
+        toxicity._advance(got, saved, weight, False, 0)
+        w = W.words(texts)
+        f = toxicity.features(w)
+        own.step([f[a:b] for a, b in zip(w.ptr[:-1], w.ptr[1:])], np.float32(y), weight[y].astype(np.float32), toxicity.RATE, np.random.default_rng([7, 0, 0]))
+        assert np.allclose(got.table, own.table, atol=1e-6) and np.allclose(got.table_square, own.table_square, rtol=1e-3, atol=1e-8 * weight.max() ** 2)
+        for a, b in zip((*got.dense(), *got.square), (*own.dense(), *own.square)):
+            assert np.allclose(a, b, rtol=1e-3, atol=1e-8 * weight.max() ** 2)
+
+
 def test_thresholds_of_all_rows_against_a_plain_search(spark):
     r = random.Random(5)
     rows = [(r.choice(["en", "de", "", None]), round(r.random(), 2), int(r.random() < 0.3)) for _ in range(600)] + [("xx", 0.5, 1)]
