@@ -336,6 +336,28 @@ def test_larger_tables_refine_the_best_and_score_all(spark, monkeypatch):
         assert labels.select("label").distinct().count() == 4
 
 
+def some_rows(spark, n, width, seed=0, copies=7):
+    """Rows of which a few are copies, with labels of which some are noise; as a table and as arrays."""
+    r = np.random.default_rng(seed)
+    x, y = r.normal(size=(n, width)), r.integers(-1, 4, n)
+    x[-copies:], y[-copies:] = x[:copies], y[:copies]
+    return spark.createDataFrame([(5 * i, v.tolist(), int(c), float(v[0]), float(v[1])) for i, (v, c) in enumerate(zip(x, y))], "row_id long, features array<double>, label int, x double, y double"), x, y
+
+
+def test_silhouettes_of_any_number_of_rows(spark, monkeypatch):
+    df, x, y = some_rows(spark, 300, 6)
+    monkeypatch.setattr(V, "BLOCK_BYTES", 70 * 6 * 8)  # five blocks
+    got = {r.row_id // 5: r.silhouette for r in C.silhouette_rows(df).collect()}
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    for i in np.flatnonzero(y >= 0):
+        inner = d[i][y == y[i]].sum() / ((y == y[i]).sum() - 1)
+        outer = min(d[i][y == c].mean() for c in range(4) if c != y[i])
+        assert got.pop(int(i)) == pytest.approx((outer - inner) / max(outer, inner), abs=1e-9)
+    assert not got
+    more = spark.range(26_000).selectExpr("id AS row_id", "array(id % 97 + 0.0D, id % 89 + 0.0D) AS features", "int(id % 3) AS label")
+    assert C.silhouette_rows(more).count() == 26_000
+
+
 def test_density_clusters():
     from lodestone.operators import density
 
