@@ -354,10 +354,35 @@ def test_silhouettes_of_any_number_of_rows(spark, monkeypatch):
         outer = min(d[i][y == c].mean() for c in range(4) if c != y[i])
         assert got.pop(int(i)) == pytest.approx((outer - inner) / max(outer, inner), abs=1e-9)
     assert not got
+    monkeypatch.undo()
     more = spark.range(26_000).selectExpr("id AS row_id", "array(id % 97 + 0.0D, id % 89 + 0.0D) AS features", "int(id % 3) AS label")
     assert C.silhouette_rows(more).count() == 26_000
 
 
+def test_trustworthiness_of_any_number_of_rows(spark, monkeypatch):
+    df, x, _ = some_rows(spark, 150, 6, 1)
+    want = V.trustworthiness(df).first()[0]
+    far, near = (np.argsort(np.where(np.eye(len(x)) > 0, np.inf, np.round(V.squared_distances(z, z), 12)), axis=1, kind="stable") for z in (x, x[:, :2]))
+    lost = sum(max(0, far[i].tolist().index(j) + 1 - 15) for i in range(len(x)) for j in near[i, :15].tolist())
+    assert want == pytest.approx(1 - 2 * lost / (150 * 15 * (300 - 46)))
+    monkeypatch.setattr(V, "BLOCK_BYTES", 80 * 6 * 8)  # two blocks
+    assert V.trustworthiness(df).first()[0] == pytest.approx(want, abs=1e-12)
+
+
+def test_density_clusters_of_any_number_of_rows(spark, monkeypatch):
+    from lodestone.operators import density
+
+    r = np.random.default_rng(0)
+    x = np.concatenate([r.normal((0, 0, 0), 0.2, (140, 3)), r.normal((5, 0, 1), 0.5, (160, 3)), r.normal((0, 8, 2), 0.3, (80, 3)), r.uniform(-20, 20, (20, 3))])
+    df = spark.createDataFrame([(7 * i, v.tolist()) for i, v in enumerate(x)], "row_id long, features array<double>")
+    want = density.hierarchical_density(x, 10, 5)
+    monkeypatch.setattr(V, "BLOCK_BYTES", 210 * 3 * 8)  # two blocks
+    out = density.fit_density(df, 10, 5)
+    got = np.array([q.label for q in out.orderBy("row_id").collect()])
+    assert len(set(got.tolist())) == 4 and [got.tolist().index(c) for c in got] == [want.tolist().index(c) for c in want]
+    assert density.validity(out) == pytest.approx(density.density_validity(x, got), abs=1e-9)
+
+
 def test_density_clusters():
     from lodestone.operators import density
 
