@@ -383,6 +383,24 @@ def test_density_clusters_of_any_number_of_rows(spark, monkeypatch):
     assert density.validity(out) == pytest.approx(density.density_validity(x, got), abs=1e-9)
 
 
+def test_integer_search_of_more_rows_than_a_task_holds(spark, sf, monkeypatch):
+    from lodestone.operators import fits
+
+    monkeypatch.setattr(fits, "MOST_ROWS", 100)
+    monkeypatch.setattr(C, "k_max", lambda n: 3)
+    got = registry.QUERIES["integer_search"](spark, sf).collect()
+    assert [r.k for r in got] == [2, 3] and sum(r.best for r in got) == 1
+
+
+def test_nearest_rows_by_either_name_in_blocks(spark, monkeypatch):
+    df, x, _ = some_rows(spark, 200, 6, 2)
+    monkeypatch.setattr(V, "BLOCK", 16)
+    want = V.squared_distances(x, x[::4])
+    for f in (V.nearest, V.nearest_sql):
+        got = {r.row_id // 5: r for r in f(df, df.where("row_id % 20 = 0")).collect()}
+        assert len(got) == 200 and all(got[i].region == want[i].argmin() and got[i].dist == math.sqrt(want[i].min()) for i in range(200))
+
+
 def test_density_clusters():
     from lodestone.operators import density
 
