@@ -401,6 +401,15 @@ def test_nearest_rows_by_either_name_in_blocks(spark, monkeypatch):
         assert len(got) == 200 and all(got[i].region == want[i].argmin() and got[i].dist == math.sqrt(want[i].min()) for i in range(200))
 
 
+def test_cleaning_takes_each_statistic_once(spark, sf, monkeypatch):
+    taken = []
+    for name in ("modal_share", "quantiles"):
+        f = getattr(stats, name)
+        monkeypatch.setattr(stats, name, lambda *a, f=f, name=name, **k: taken.append(name) or f(*a, **k))
+    got = {r.descriptor: r.verdict for r in registry.QUERIES["clean_columns"](spark, sf).collect()}
+    assert sorted(taken) == ["modal_share", "quantiles"] and "correlated" in got.values() and got["tax_copy"] == "duplicate"
+
+
 def test_density_clusters():
     from lodestone.operators import density
 
