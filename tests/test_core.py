@@ -388,6 +388,7 @@ def test_integer_search_of_more_rows_than_a_task_holds(spark, sf, monkeypatch):
 
     monkeypatch.setattr(fits, "MOST_ROWS", 100)
     monkeypatch.setattr(C, "k_max", lambda n: 3)
+    monkeypatch.setitem(C.SETTINGS, "large", C.SETTINGS["large"] | {"n_init": 2, "max_iter": 5})
     got = registry.QUERIES["integer_search"](spark, sf).collect()
     assert [r.k for r in got] == [2, 3] and sum(r.best for r in got) == 1
 
